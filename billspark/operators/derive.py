@@ -253,7 +253,7 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str = "account_id")
     """
     fields = [f for f in ATTRS if f in after.columns]
     known = [f for f in fields if f in before.columns]
-    old = before.select(key, F.struct(*[F.col(f).cast("string") for f in known]).alias("_old"))
+    old = before.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in known]).alias("_old"))
     pairs = F.array(
         *[
             F.struct(

@@ -473,9 +473,9 @@ def unit_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "page_text",
-    """WITH t AS (SELECT page_id, regexp_replace(replace(html, 't="</p>"', 't="(/p("'), '<!--.*?-->|<[^>]*>', '', 'g') AS t FROM pages),
-      d AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '<[^>]*$', ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM t)
-      SELECT page_id, length(regexp_replace(regexp_replace(t, '&amp$', '&'), '\\s+', '', 'g'))::INTEGER AS visible_chars FROM d""",
+    """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(replace(html, 't="</p>"', 't="(/p("'), '>[^<>]*&[^\\s;<>]{0,33}$', '>'), '<!--.*?-->|<[^>]*>', '', 'g') AS t FROM pages),
+      d AS (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*$', ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM t)
+      SELECT page_id, length(regexp_replace(t, '\\s+', '', 'g'))::INTEGER AS visible_chars FROM d""",
 )
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
     text = html_to_text(F.col("html"))
