@@ -43,32 +43,57 @@ def with_fields(df: DataFrame, fields: Iterable[str]) -> DataFrame:
     return df.withColumns({f: F.lit(None).cast(ATTRS[f]) for f in missing}) if missing else df
 
 
+def _owned_name(field: str) -> str:
+    return f"_owned_{field}"
+
+
 def open_scores(df: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Spread the scores of ``fields`` into columns."""
     fields = list(fields)
     df = with_fields(df, fields)
     if "confidence" not in df.columns:
         df = df.withColumn("confidence", F.expr(EMPTY_MAP))
-    return df.withColumns(
+    df = df.withColumns(
         {score_name(f): F.try_element_at("confidence", F.lit(f)) for f in fields}
     )
+    return mark_owned(df, fields)
+
+
+def mark_owned(df: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Note which values a person set. Derivation never changes that."""
+    return df.withColumns(
+        {
+            _owned_name(f): F.coalesce(score(f) >= rules.CONF_OVERRIDE, F.lit(False))
+            for f in fields
+        }
+    )
 
 
 def close_scores(df: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Fold the score columns back into the map."""
+    """Fold the score columns back into the map.
+
+    The derived fields leave through a generator of exactly one row. Derived
+    values build on each other over many steps; without this boundary a filter
+    on one of them would be pushed down by writing all those steps out into one
+    expression, which grows exponentially.
+    """
     fields = list(fields)
     known = F.array(*[F.lit(f) for f in fields])
     others = F.map_filter(
         F.coalesce("confidence", F.expr(EMPTY_MAP)), lambda k, v: ~F.array_contains(known, k)
     )
-    return df.withColumn(
-        "confidence", F.map_concat(others, score_map({f: score(f) for f in fields}))
-    ).drop(*[score_name(f) for f in fields])
+    scores = F.map_concat(others, score_map({f: score(f) for f in fields}))
+    scratch = {*map(score_name, fields), *map(_owned_name, fields)}
+    touched = {*fields, "confidence"}
+    rest = [c for c in df.columns if c not in scratch and c not in touched]
+    one = F.struct(*fields, scores.alias("confidence"))
+    ordered = [c for c in df.columns if c not in scratch]
+    return df.select(*rest, F.inline(F.array(one))).select(*ordered)
 
 
 def owned(field: str) -> Column:
     """True when a person set the value; nothing derived may replace it."""
-    return F.coalesce(score(field) >= rules.CONF_OVERRIDE, F.lit(False))
+    return F.col(_owned_name(field))
 
 
 def derive(
@@ -77,13 +102,12 @@ def derive(
     """Write derived values (where not NULL and not owned) with the derived score."""
     changed: dict[str, Column] = {}
     for field, value in updates.items():
-        write = value.isNotNull() & ~owned(field)
-        if only is not None:
-            write = write & only
-        changed[field] = F.when(write, value.cast(ATTRS[field])).otherwise(F.col(field))
-        changed[score_name(field)] = F.when(write, F.lit(rules.CONF_DERIVED)).otherwise(
-            score(field)
-        )
+        value = value.cast(ATTRS[field])
+        write = ~owned(field) if only is None else only & ~owned(field)
+        changed[field] = F.when(write, F.coalesce(value, F.col(field))).otherwise(F.col(field))
+        changed[score_name(field)] = F.when(
+            write & value.isNotNull(), F.lit(rules.CONF_DERIVED)
+        ).otherwise(score(field))
     return df.withColumns(changed)
 
 

@@ -15,6 +15,7 @@ from billspark.operators.confidence import (
     close_scores,
     copy_field,
     derive,
+    mark_owned,
     open_scores,
     owned,
     score,
@@ -241,7 +242,8 @@ def recompute(state: DataFrame) -> DataFrame:
             synced[score_name(target)] = F.when(
                 write, F.coalesce(score(source), F.lit(rules.CONF_DERIVED))
             ).otherwise(score(target))
-    df = derive(df.withColumns(synced), {"gc_total": _provisional_total()}, common)
+    df = mark_owned(df.withColumns(synced), fields)
+    df = derive(df, {"gc_total": _provisional_total()}, common)
     return close_scores(_reconcile_steps(df, common), fields)
 
 

@@ -290,3 +290,99 @@ def note_text(df: DataFrame) -> DataFrame:
     return df.select(
         "o_orderkey", F.lit(rules.COMMON_EXPENSES).alias("service_type"), body.alias("text")
     )
+
+
+# --------------------------------------------------------------------- responses
+def joined(pieces: list[Column | str | None]) -> Column:
+    """Concatenation; neighbouring literals are merged, NULL pieces are left out."""
+    merged: list[Column | str] = []
+    for piece in pieces:
+        if isinstance(piece, str) and merged and isinstance(merged[-1], str):
+            merged[-1] += piece
+        elif piece is not None:
+            merged.append(piece)
+    return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p for p in merged])
+
+
+def _box(left: int, top: int, pieces: list[Column | str]) -> list[Column | str]:
+    right, bottom = left + 80, top + 10
+    corners = f"[[{left},{top}],[{right},{top}],[{right},{bottom}],[{left},{bottom}]]"
+    return ['{"confidence":0.9,"box":' + corners + ',"text":"', *pieces, '"}']
+
+
+def boxes_json(rows: list[list[tuple[int, list[Column | str]]]]) -> Column:
+    """One page of positioned texts: rows of (left, text pieces)."""
+    pieces: list[Column | str | None] = ['{"pages":[{"page":1,"lines":[']
+    first = True
+    for i, row in enumerate(rows):
+        for left, words in row:
+            pieces += ["" if first else ",", *_box(left, 20 + 25 * i, words)]
+            first = False
+    return joined([*pieces, "]}]}"])
+
+
+def note_rows(values: bool = True) -> list[list[tuple[int, list[Column | str]]]]:
+    """Rows of a common-expenses note as printed; ``values=False`` leaves only labels."""
+    c = F.col
+
+    def v(*words: Column | str) -> list[Column | str]:
+        return list(words) if values else []
+
+    rows: list[list[tuple[int, list[Column | str]]]] = [
+        [(300, ["Fecha Emisión:"]), (450, v(dmy(c("day"))))],
+        [(10, v("Edificio Los Alerces")), (300, ["Pagar Hasta:"]), (450, v(dmy(F.date_add("day", 5), "/")))],
+        [(10, v("RUT: 56080400-8"))],
+        [(10, v("Curico ", c("o_custkey").cast("string"), " - Santiago"))],
+        [(10, v("Nota de Cobro ", F.initcap(month_word(c("day"))), " ", F.year("day").cast("string"))),
+         (300, v("Depto. ", (c("o_custkey") % 300).cast("string")))],
+        [(10, ["Copropietario"]), (200, v("JORGE CORDERO")), (400, ["Fecha último Pago"]), (600, v(dmy(c("day"))))],
+        [(10, ["Alícuota Total"]), (200, v("0,", c("share"), " %")), (400, ["Monto último Pago"]), (600, v("$ ", clp(c("hot"))))],
+        [(10, ["Gasto común a Prorratear"]), (250, v("$ ", clp(c("building")))), (400, ["Folio último Pago"]),
+         (600, v((key() % 90000 + 10000).cast("string")))],
+        [(10, ["Concepto"]), (300, ["Detalle"]), (500, ["Monto a pagar"])],
+        [(10, v("Gasto común")), (300, v("0,", c("share"), " %")), (500, v("$ ", clp(c("building") % 977 + 1)))],
+        [(10, ["PROVISIÓN DE FONDOS", *v(" ", c("pct").cast("string"), "% DEL GASTO MENSUAL")]), (500, v("$ ", clp(c("hot"))))],
+        [(300, ["Subtotal Departamento"]), (500, v("$ ", clp(c("printed"))))],
+        [(200, ["Lectura Anterior"]), (300, ["Lectura Actual"]), (420, ["Consumos"]), (500, ["Valor"])],
+        [(10, v("Agua Caliente")), (200, v("298,300000")), (300, v("301,800000")), (420, v("3,500000")),
+         (500, v("9.374,86")), (600, v("$ ", clp(c("hot"))))],
+        [(400, ["Subtotal Consumo"]), (600, v("$ ", clp(c("hot"))))],
+        [(10, ["Cargo Fijo"]), (600, v("$ ", clp(c("charge"))))],
+        [(10, ["Subtotal Recargos"]), (600, v("$ ", clp(c("charge"))))],
+        [(10, ["Total del mes"]), (600, v("$ ", clp(c("printed") * 3)))],
+    ]
+    return [[cell for cell in row if cell[1]] for row in rows if any(cell[1] for cell in row)]
+
+
+def structured_json() -> Column:
+    """A template response in three shapes by key: machine keys, labelled rows, match details."""
+    c = F.col
+    note = (
+        '"fechas_emision":{"fecha_emision":"', dmy(c("day"), "/"), '","pagar_hasta":"', dmy(F.date_add("day", 5)),
+        '"},"tabla_nota_cobro":{"nota_cobro_mes_depto":"Nota de Cobro ', month_word(c("day")), " ", F.year("day").cast("string"),
+        " Depto. ", (c("o_custkey") % 300).cast("string"), '","alicuota_total":"0,', c("share"),
+        ' %","gasto_comun_a_prorratear":"$ ', clp(c("building")), '"}',
+    )
+    machine = joined([
+        '{"sections":{', *note, ',"tabla_desglose_departamento":{"gasto_comun_monto":"$ ', clp(c("hot")),
+        '","provision_fondos_porcentaje":"', c("pct").cast("string"), ' %","provision_fondos_monto":null},'
+        '"tabla_consumos_generales":{"agua_caliente_lectura_anterior":"298,300000","agua_caliente_lectura_actual":"301,800000",'
+        '"subtotal_consumo":"$ ', clp(c("hot")), '"},"tabla_gastos_por_unidad":{"cargo_fijo":"$ ', clp(c("charge")),
+        '","total_del_mes":"$ ', clp(c("printed")), '"}}}',
+    ])
+    labelled = joined([
+        '{"sections":{', *note, ',"tabla_desglose_departamento":{"rows":[{"Gasto común":{"Detalle":"0,95110 %","Monto a pagar":"$ ',
+        clp(c("hot")), '"}},{"PROVISIÓN DE FONDOS ', c("pct").cast("string"), '% DEL GASTO MENSUAL":{"Detalle":"',
+        c("pct").cast("string"), ',00 %","Monto a pagar":"$ 1"}}]},"tabla_consumos_generales":{"rows":[{"Agua Caliente":'
+        '{"Lectura Anterior":"298,300000","Lectura Actual":"301,800000","Consumos":"3,500000","Valor":"9.374,86","Total":"$ ',
+        clp(c("hot")), '"}}],"Subtotal Consumo":{"value":"$ ', clp(c("hot")), '"}},"tabla_gastos_por_unidad":{"Cargo Fijo":"$ ',
+        clp(c("charge")), '","Total del mes":"$ ', clp(c("printed")), '"}}}',
+    ])
+    details = joined([
+        '{"sections":{', *note, ',"tabla_gastos_por_unidad":{"cargo_fijo":null}},"meta":{"matched_sections":{'
+        '"tabla_desglose_departamento":{"line_results":{"gasto_comun_monto":{"value":"$ ', clp(c("hot")),
+        '"},"provision_fondos_porcentaje":{"value":"', c("pct").cast("string"), '"}}},"tabla_consumos_generales":{"line_results":{'
+        '"subtotal_consumo":{"value":"$ ', clp(c("hot")), '"}}},"tabla_gastos_por_unidad":{"line_results":{"cargo_fijo":{"value":"$ ',
+        clp(c("charge")), '"},"total_del_mes":{"value":"$ ', clp(c("printed")), '"}}}}}}',
+    ])
+    return choose(key() % 3, machine, labelled, details)
