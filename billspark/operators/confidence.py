@@ -47,6 +47,18 @@ def _owned_name(field: str) -> str:
     return f"_owned_{field}"
 
 
+def boundary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Let ``columns`` leave through a generator of exactly one row.
+
+    Values that build on each other over many projections would otherwise be
+    written out into one expression, which grows exponentially, as soon as a
+    filter on one of them is pushed down.
+    """
+    columns = list(columns)
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def open_scores(df: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Spread the scores of ``fields`` into columns."""
     fields = list(fields)
@@ -70,25 +82,17 @@ def mark_owned(df: DataFrame, fields: Iterable[str]) -> DataFrame:
 
 
 def close_scores(df: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Fold the score columns back into the map.
-
-    The derived fields leave through a generator of exactly one row. Derived
-    values build on each other over many steps; without this boundary a filter
-    on one of them would be pushed down by writing all those steps out into one
-    expression, which grows exponentially.
-    """
+    """Fold the score columns back into the map."""
     fields = list(fields)
     known = F.array(*[F.lit(f) for f in fields])
     others = F.map_filter(
         F.coalesce("confidence", F.expr(EMPTY_MAP)), lambda k, v: ~F.array_contains(known, k)
     )
     scores = F.map_concat(others, score_map({f: score(f) for f in fields}))
-    scratch = {*map(score_name, fields), *map(_owned_name, fields)}
-    touched = {*fields, "confidence"}
-    rest = [c for c in df.columns if c not in scratch and c not in touched]
-    one = F.struct(*fields, scores.alias("confidence"))
-    ordered = [c for c in df.columns if c not in scratch]
-    return df.select(*rest, F.inline(F.array(one))).select(*ordered)
+    df = df.withColumn("confidence", scores).drop(
+        *map(score_name, fields), *map(_owned_name, fields)
+    )
+    return boundary(df, [*fields, "confidence"])
 
 
 def owned(field: str) -> Column:
