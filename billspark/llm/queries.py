@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.llm.common import documents
+from billspark.llm.common import KEY, documents, remainder, row_key
+from billspark.llm.decontam import contaminated, phrase_hits
 from billspark.llm.lines import drop_repeated_lines
 from billspark.llm.packing import pack, pieces
+from billspark.llm.scoring import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +35,30 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+@register("op1_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir), remainder() == 1)
+
+
+@register("op5_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    hits = phrase_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return (
+        docs.select("doc_id", *row_key())
+        .join(hits.drop("spans"), KEY)
+        .select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            F.size(items).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+            contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        )
+    )
+
+
 @register("op8_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), vocabulary()))
