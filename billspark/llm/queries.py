@@ -12,6 +12,7 @@ from billspark.llm.decontam import contaminated, phrase_hits
 from billspark.llm.lines import drop_repeated_lines
 from billspark.llm.packing import pack, pieces
 from billspark.llm.scoring import score_documents
+from billspark.llm.toxicity import score_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,19 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), remainder() == 1)
 
 
+@register("op4_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = remainder() == 0
+    scored = toxicity_scores(documents(spark, sf_dir), labels, held_out)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @register("op5_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
