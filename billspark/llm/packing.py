@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import worker_memo
+from billspark.llm.common import worker_memo, written
 
 #: Distinct chunks whose ids a Python worker remembers at most; the memory is then emptied.
 REMEMBERED = 800_000
@@ -223,8 +223,9 @@ def pack(
             yield close(held)
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    cut_pieces = written(cut_pieces.select(*columns), "pieces")  # tokenised once, used twice
     by = [F.xxhash64(*columns), *columns]
-    short = cut_pieces.select(*columns).filter(F.col("length") < capacity)
+    short = cut_pieces.filter(F.col("length") < capacity)
     dealt = short.repartition(parts, by[0]) if parts else short.repartition(by[0])
     packed = (
         dealt.sortWithinPartitions(*by)
@@ -239,8 +240,7 @@ def pack(
         )
     )
     full = (
-        cut_pieces.select(*columns)
-        .filter(F.col("length") == capacity)
+        cut_pieces.filter(F.col("length") == capacity)
         .select(
             *columns,
             (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
