@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from billspark.llm.common import KEY, documents, remainder, row_key
 from billspark.llm.decontam import contaminated, phrase_hits
+from billspark.llm.licenses import license_sql, scan_licenses
 from billspark.llm.lines import drop_repeated_lines
 from billspark.llm.packing import pack, pieces
+from billspark.llm.quality import judge
 from billspark.llm.scoring import score_documents
 from billspark.llm.toxicity import score_documents as toxicity_scores
 
@@ -41,6 +43,16 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), remainder() == 1)
 
 
+@register("op2_license_scan", license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+@register("op3_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register("op4_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
