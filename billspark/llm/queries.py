@@ -14,6 +14,7 @@ from billspark.llm.lines import drop_repeated_lines
 from billspark.llm.packing import pack, pieces
 from billspark.llm.quality import judge
 from billspark.llm.scoring import score_documents
+from billspark.llm.secrets import find_secrets
 from billspark.llm.toxicity import score_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,27 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), vocabulary()))
 
 
+@register("op9_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    kinds = {k: of(k) for k in ("assign", "access", "hex")}
+    joined = lambda spans: F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+    base = joined(F.filter("spans", lambda s: s["kind"].isin(*kinds)))
+    return found.select(
+        "doc_id",
+        *[F.size(v).cast("long").alias(f"n_{k}") for k, v in kinds.items()],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
