@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.llm.common import KEY, documents, remainder, row_key
+from billspark.llm.common import KEY, NO_ID, documents, remainder, row_key
 from billspark.llm.decontam import contaminated, phrase_hits
 from billspark.llm.licenses import license_sql, scan_licenses
 from billspark.llm.lines import drop_repeated_lines
+from billspark.llm.neardup import classes
 from billspark.llm.packing import pack, pieces
 from billspark.llm.quality import judge
 from billspark.llm.scoring import score_documents
@@ -86,6 +87,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op6_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(documents(spark, sf_dir)).select(
+        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"), "class_id"
+    )
+
+
 @register("op8_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), vocabulary()))
