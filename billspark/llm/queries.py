@@ -16,6 +16,7 @@ from billspark.llm.packing import pack, pieces
 from billspark.llm.quality import judge
 from billspark.llm.scoring import score_documents
 from billspark.llm.secrets import find_secrets
+from billspark.llm.substrings import remove_repeats
 from billspark.llm.toxicity import score_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op7_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 @register("op8_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), vocabulary()))
