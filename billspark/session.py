@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,15 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benches; a cluster brings its own."""
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, shared_folder: str | None = None
+) -> SparkSession:
+    """Session for tests and benches; a cluster brings its own.
+
+    ``shared_folder`` is where checkpoints, stream state and tables go; a new temporary one by
+    default, which on one machine everything sees.
+    """
+    folder = shared_folder or tempfile.mkdtemp(prefix="billspark-")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("billspark")
@@ -29,6 +37,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", f"{folder}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -38,11 +48,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's own setting, else a fresh local one (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="billspark-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a temporary folder serves a session on one machine; on a
+    cluster that would lose what executors write, so it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="billspark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 

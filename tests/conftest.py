@@ -9,7 +9,8 @@ from billspark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(4, shuffle_partitions=4, shared_folder=str(shared))
     yield session
     session.stop()
