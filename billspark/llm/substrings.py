@@ -14,7 +14,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import KEY, NO_ID, row_key, text_or_empty, written
+from billspark.llm.common import (
+    KEY,
+    NO_ID,
+    row_key,
+    rows_at_once,
+    shared_folder,
+    text_or_empty,
+    written,
+)
 
 
 @dataclass(frozen=True)
@@ -28,7 +36,7 @@ class Settings:
 
     length: int = 50
     gram: int = 24
-    batches: int = 4
+    batches: int = 3
     chunk: int = 4_000_000
     part: int = 1_000_000
 
@@ -332,14 +340,20 @@ def _spans(chunked: DataFrame, bits: int, width: int, settings: Settings) -> Dat
 
 
 def _span_body(number, least, texts: list[bytes]) -> bytes:
+    """Numbers and ids rise slowly, so their differences are kept, which compress well."""
     return _pack(
-        np.asarray(number, np.int64),
-        np.asarray(least, np.int64),
+        np.diff(np.asarray(number, np.int64), prepend=0),
+        np.diff(np.asarray(least, np.int64), prepend=0),
         np.array([len(t) for t in texts], np.int32),
         np.frombuffer(b"".join(texts), np.uint8),
     )
 
 
+def _read_span_body(body: bytes) -> list[np.ndarray]:
+    number, least, sizes, data = _unpack(body, np.int64, np.int64, np.int32, np.uint8)
+    return [np.cumsum(number), np.cumsum(least), sizes, data]
+
+
 class SuffixArray:
     """The strings of ``length`` bytes in spans, in the order of their 128-bit hashes.
 
@@ -348,7 +362,7 @@ class SuffixArray:
     """
 
     def __init__(self, bodies: list[bytes], length: int) -> None:
-        read = [_unpack(b, np.int64, np.int64, np.int32, np.uint8) for b in bodies]
+        read = [_read_span_body(b) for b in bodies]
         self.number = np.concatenate([r[0] for r in read])
         self.source = np.repeat(np.arange(len(read)), [len(r[0]) for r in read])
         least = np.concatenate([r[1] for r in read])
@@ -398,7 +412,7 @@ def merged(bodies: list[bytes]) -> bytes:
     """Spans of several tables as one, each once; a level needs no ids, all of its own are smaller."""
     texts: dict[bytes, None] = {}
     for body in bodies:
-        _, _, sizes, data = _unpack(body, np.int64, np.int64, np.int32, np.uint8)
+        _, _, sizes, data = _read_span_body(body)
         raw, at = data.tobytes(), 0
         for size in sizes.tolist():
             texts[raw[at : at + size]] = None
@@ -407,92 +421,89 @@ def merged(bodies: list[bytes]) -> bytes:
     return _span_body(np.zeros(len(ordered)), np.full(len(ordered), NO_ID), ordered)
 
 
-def _scan(together: DataFrame, parts: int, length: int) -> DataFrame:
-    """``chunk, body``: for spans of the batch, which of their strings stand in a smaller document.
-
-    Rows of level -1 are the batch, the others levels of the family.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches):
-            fresh = [r for r in rows if r[1] < 0]
-            if not fresh:
-                continue
-            mine = SuffixArray([r[3] for r in fresh], length)
-            least = mine.own_least()
-            for level in [r for r in rows if r[1] >= 0]:
-                least[mine.found_in(SuffixArray([level[3]], length))] = NO_ID
-            told = np.flatnonzero(least < mine.least)
-            told = told[np.lexsort((mine.offset[told], mine.span[told]))]
-            span, offset, value = mine.span[told], mine.offset[told], least[told]
-            out = []
-            if len(told):
-                cut = np.flatnonzero(
-                    np.concatenate(
-                        ([True], (span[1:] != span[:-1]) | (offset[1:] != offset[:-1] + 1) | (value[1:] != value[:-1]))
-                    )
-                )
-                stop = np.append(cut[1:], len(told)) - 1
-                source = mine.source[span[cut]]
-                for k in np.unique(source):
-                    run = source == k
-                    body = _pack(
-                        mine.number[span[cut[run]]],
-                        offset[cut[run]].astype(np.int32),
-                        offset[stop[run]].astype(np.int32),
-                        value[cut[run]],
-                    )
-                    out.append((fresh[k][2], body))
-            if out:
-                yield _rows(["chunk", "told"], out, [pa.int64(), pa.binary()])
-
-    return (
-        together.repartition(parts, "part")
-        .sortWithinPartitions("part", "level", "chunk")
-        .mapInArrow(scan, "chunk long, told binary")
-    )
-
-
 class IndexFamily:
     """Levels of suffix arrays; one of level k holds 2^k batches.
 
-    A batch is scanned against every level, then added as level 0; two arrays of a level merge into
-    one of the next, so there are never more than log2(batches) + 1 of them. Levels
-    are tables in the shared folder, split by sampled gram like the batches.
+    A batch is scanned against every level, then becomes level 0; two arrays of a level merge into
+    one of the next, so there are never more than log2(batches) + 1 of them. Scan and merge
+    are one pass over the batch and the levels, brought together by sampled gram. Levels
+    are tables in the shared folder.
     """
 
     def __init__(self, parts: int, length: int) -> None:
         self.parts, self.length = parts, length
         self.levels: dict[int, DataFrame] = {}
 
-    def search(self, batch: DataFrame) -> DataFrame:
+    def take(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """``chunk, told``: for spans of the batch, which of their strings a smaller document has.
+
+        The family then holds the batch as well, unless it is the ``last``.
+        """
+        target = 0
+        while target in self.levels:
+            target += 1
         together = batch
         for level in self.levels.values():
             together = together.unionByName(level)
-        return written(_scan(together, self.parts, self.length), "told")
-
-    def add(self, batch: DataFrame) -> None:
-        level, tables = 0, [batch]
-        while level in self.levels:
-            tables.append(self.levels.pop(level))
-            level += 1
-        self.levels[level] = written(self._merge(tables, level), f"level-{level}")
-
-    def _merge(self, tables: list[DataFrame], level: int) -> DataFrame:
-        together = tables[0]
-        for table in tables[1:]:
-            together = together.unionByName(table)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, rows in _grouped(batches):
-                yield _rows(
-                    ["part", "level", "chunk", "body"],
-                    [(part, level, 0, merged([r[3] for r in rows]))],
-                    [pa.int64(), pa.int32(), pa.int64(), pa.binary()],
-                )
+        path = shared_folder(batch.sparkSession, "level")
+        (
+            together.repartition(self.parts, "part")
+            .sortWithinPartitions("part", "level", "chunk")
+            .mapInArrow(_scan_and_merge(self.length, None if last else target), SPANS)
+            .write.partitionBy("level")
+            .parquet(path)
+        )
+        made = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        for level in range(target):
+            del self.levels[level]
+        if not last:
+            self.levels[target] = made.filter(F.col("level") == target)
+        return made.filter(F.col("level") == -1).select("chunk", F.col("body").alias("told"))
+
 
-        return together.repartition(self.parts, "part").sortWithinPartitions("part").mapInArrow(
-            merge, SPANS
+def _scan_and_merge(length: int, target: int | None):
+    """Per partition: answers for the batch (level -1) and the merged level ``target``."""
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            fresh = [r for r in rows if r[1] < 0]
+            levels = [r for r in rows if r[1] >= 0]
+            out = [(part, -1, chunk, told) for chunk, told in _answers(fresh, levels, length)]
+            if target is not None:
+                merging = fresh + [r for r in levels if r[1] < target]
+                if merging:
+                    out.append((part, target, 0, merged([r[3] for r in merging])))
+            if out:
+                yield _rows(["part", "level", "chunk", "body"], out, types)
+
+    return run
+
+
+def _answers(fresh: list[tuple], levels: list[tuple], length: int) -> Iterator[tuple[int, bytes]]:
+    """For each chunk, runs of strings as span, first and last offset, smallest id that has them."""
+    if not fresh:
+        return
+    mine = SuffixArray([r[3] for r in fresh], length)
+    least = mine.own_least()
+    for level in levels:
+        least[mine.found_in(SuffixArray([level[3]], length))] = NO_ID
+    told = np.flatnonzero(least < mine.least)
+    told = told[np.lexsort((mine.offset[told], mine.span[told]))]
+    if not len(told):
+        return
+    span, offset, value = mine.span[told], mine.offset[told], least[told]
+    new = (span[1:] != span[:-1]) | (offset[1:] != offset[:-1] + 1) | (value[1:] != value[:-1])
+    begin = np.flatnonzero(np.concatenate(([True], new)))
+    stop = np.append(begin[1:], len(told)) - 1
+    source = mine.source[span[begin]]
+    for k in np.unique(source):
+        run = source == k
+        yield fresh[k][2], _pack(
+            mine.number[span[begin[run]]],
+            offset[begin[run]].astype(np.int32),
+            offset[stop[run]].astype(np.int32),
+            value[begin[run]],
         )
 
 
@@ -556,26 +567,20 @@ def remove_repeats(
     table = spark.table(name)
     n_bytes = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_sampled = max(1, 2 * n_bytes // (settings.length - settings.gram + 2))
-    bits = max(4, math.ceil(math.log2(n_sampled / settings.part + 1)) + 2)
+    bits = max(4, math.ceil(math.log2(n_sampled / settings.part + 1)))
     width = 4 if math.log2(n_sampled) + 8 - bits <= 32 else 8
-    shared = (
-        _shared_keys(table, bits, width, parts, settings)
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("part", "tags")).alias("replies"))
-    )
-    shared = written(shared, "shared")
-    spans = written(
-        _spans(table.join(shared, "chunk"), bits, width, settings).join(
-            table.select("chunk", "band"), "chunk"
-        ),
-        "spans",
-    )
-    family, answers = IndexFamily(parts, settings.length), []
-    for band in range(len(borders) + 1):
-        batch = spans.filter(F.col("band") == band).drop("band").select("part", "level", "chunk", "body")
-        answers.append(family.search(batch))
-        if band < len(borders):
-            family.add(batch)
+    with rows_at_once(spark, 200):
+        shared = written(
+            _shared_keys(table, bits, width, parts, settings)
+            .groupBy("chunk")
+            .agg(F.collect_list(F.struct("part", "tags")).alias("replies")),
+            "shared",
+        )
+        family, answers = IndexFamily(parts, settings.length), []
+        for band in range(len(borders) + 1):
+            chunked = table.filter(F.col("band") == band).join(shared, "chunk")
+            batch = _spans(chunked, bits, width, settings)
+            answers.append(family.take(batch, last=band == len(borders)))
     told = answers[0]
     for more in answers[1:]:
         told = told.unionByName(more)
