@@ -270,17 +270,17 @@ def note_text(df: DataFrame) -> DataFrame:
         "Fecha Emisión: ", "Pagar Hasta: ", "", dmy(F.col("day")),
         text(F.date_format(F.date_add("day", 10), "dd-MM-"), (F.year(F.date_add("day", 10)) + F.when(key() % 5 == 0, 2).otherwise(0)).cast("string")),
         text("Edificio ", choose(key() % 3, "Jose Miguel", "Jon Miguel", "Los Alerces")),
-        "RUT: 56080400-8",
-        text("Curico ", F.col("o_custkey").cast("string"), " - Santiago"),
+        "RUT: 11222333-4",
+        text("Calle Norte ", F.col("o_custkey").cast("string"), " - Santiago"),
         text("Nota de Cobro ", F.initcap(month_word(first)), " ", F.year("day").cast("string")),
         text("Depto. ", (F.col("o_custkey") % 300).cast("string")),
-        "JORGE CORDERO",
+        "ANA PRUEBA",
         text("O ", F.col("share"), " % "),
         text("$ ", clp(F.col("building") % 977 + 1)),
         text("Gasto común a Prorratear\n$ ", clp(F.col("building"))),
         F.when(key() % 4 != 1, text("PROVISION DE FONDOS ", F.col("pct").cast("string"), "% DEL GASTO MENSUAL")),
         F.when(key() % 4 == 1, text("Subtotal Departamento $ ", clp(F.col("printed")))),
-        text("Agua Caliente 585,396000 588,379000 2,983000 7.034,70 $ ", clp(F.col("hot"))),
+        text("Agua Caliente 410,254000 413,511000 3,257000 6.120,45 $ ", clp(F.col("hot"))),
         text("Subtotal Consumo $ ", clp(F.col("hot"))),
         F.when(key() % 6 != 2, text("Cargo Fijo $ ", clp(F.col("charge")))),
         text("Subtotal Recargos\nTotal del mes\n$ ", clp(F.col("charge")), "\n$ ", clp(F.col("printed") * 3)),
@@ -331,11 +331,11 @@ def note_rows(values: bool = True) -> list[list[tuple[int, list[Column | str]]]]
     rows: list[list[tuple[int, list[Column | str]]]] = [
         [(300, ["Fecha Emisión:"]), (450, v(dmy(c("day"))))],
         [(10, v("Edificio Los Alerces")), (300, ["Pagar Hasta:"]), (450, v(dmy(F.date_add("day", 5), "/")))],
-        [(10, v("RUT: 56080400-8"))],
-        [(10, v("Curico ", c("o_custkey").cast("string"), " - Santiago"))],
+        [(10, v("RUT: 11222333-4"))],
+        [(10, v("Calle Norte ", c("o_custkey").cast("string"), " - Santiago"))],
         [(10, v("Nota de Cobro ", F.initcap(month_word(c("day"))), " ", F.year("day").cast("string"))),
          (300, v("Depto. ", (c("o_custkey") % 300).cast("string")))],
-        [(10, ["Copropietario"]), (200, v("JORGE CORDERO")), (400, ["Fecha último Pago"]), (600, v(dmy(c("day"))))],
+        [(10, ["Copropietario"]), (200, v("ANA PRUEBA")), (400, ["Fecha último Pago"]), (600, v(dmy(c("day"))))],
         [(10, ["Alícuota Total"]), (200, v("0,", c("share"), " %")), (400, ["Monto último Pago"]), (600, v("$ ", clp(c("hot"))))],
         [(10, ["Gasto común a Prorratear"]), (250, v("$ ", clp(c("building")))), (400, ["Folio último Pago"]),
          (600, v((key() % 90000 + 10000).cast("string")))],
@@ -344,8 +344,8 @@ def note_rows(values: bool = True) -> list[list[tuple[int, list[Column | str]]]]
         [(10, ["PROVISIÓN DE FONDOS", *v(" ", c("pct").cast("string"), "% DEL GASTO MENSUAL")]), (500, v("$ ", clp(c("hot"))))],
         [(300, ["Subtotal Departamento"]), (500, v("$ ", clp(c("printed"))))],
         [(200, ["Lectura Anterior"]), (300, ["Lectura Actual"]), (420, ["Consumos"]), (500, ["Valor"])],
-        [(10, v("Agua Caliente")), (200, v("298,300000")), (300, v("301,800000")), (420, v("3,500000")),
-         (500, v("9.374,86")), (600, v("$ ", clp(c("hot"))))],
+        [(10, v("Agua Caliente")), (200, v("120,400000")), (300, v("124,900000")), (420, v("4,500000")),
+         (500, v("8.215,32")), (600, v("$ ", clp(c("hot"))))],
         [(400, ["Subtotal Consumo"]), (600, v("$ ", clp(c("hot"))))],
         [(10, ["Cargo Fijo"]), (600, v("$ ", clp(c("charge"))))],
         [(10, ["Subtotal Recargos"]), (600, v("$ ", clp(c("charge"))))],
@@ -366,7 +366,7 @@ def structured_json() -> Column:
     machine = joined([
         '{"sections":{', *note, ',"tabla_desglose_departamento":{"gasto_comun_monto":"$ ', clp(c("hot")),
         '","provision_fondos_porcentaje":"', c("pct").cast("string"), ' %","provision_fondos_monto":null},'
-        '"tabla_consumos_generales":{"agua_caliente_lectura_anterior":"298,300000","agua_caliente_lectura_actual":"301,800000",'
+        '"tabla_consumos_generales":{"agua_caliente_lectura_anterior":"120,400000","agua_caliente_lectura_actual":"124,900000",'
         '"subtotal_consumo":"$ ', clp(c("hot")), '"},"tabla_gastos_por_unidad":{"cargo_fijo":"$ ', clp(c("charge")),
         '","total_del_mes":"$ ', clp(c("printed")), '"}}}',
     ])
@@ -374,7 +374,7 @@ def structured_json() -> Column:
         '{"sections":{', *note, ',"tabla_desglose_departamento":{"rows":[{"Gasto común":{"Detalle":"0,95110 %","Monto a pagar":"$ ',
         clp(c("hot")), '"}},{"PROVISIÓN DE FONDOS ', c("pct").cast("string"), '% DEL GASTO MENSUAL":{"Detalle":"',
         c("pct").cast("string"), ',00 %","Monto a pagar":"$ 1"}}]},"tabla_consumos_generales":{"rows":[{"Agua Caliente":'
-        '{"Lectura Anterior":"298,300000","Lectura Actual":"301,800000","Consumos":"3,500000","Valor":"9.374,86","Total":"$ ',
+        '{"Lectura Anterior":"120,400000","Lectura Actual":"124,900000","Consumos":"4,500000","Valor":"8.215,32","Total":"$ ',
         clp(c("hot")), '"}}],"Subtotal Consumo":{"value":"$ ', clp(c("hot")), '"}},"tabla_gastos_por_unidad":{"Cargo Fijo":"$ ',
         clp(c("charge")), '","Total del mes":"$ ', clp(c("printed")), '"}}}',
     ])

@@ -266,10 +266,10 @@ NOTES = ORDERS + f""", n AS (SELECT o_orderkey, o_custkey, day, total, total * 1
       strftime(day + 10, '%d-%m-') || CAST(year(day) AS VARCHAR) AS due_date,
       strftime(date_trunc('month', day), '%d-%m-%Y') AS billing_period_start, strftime(last_day(day), '%d-%m-%Y') AS billing_period_end,
       CASE WHEN o_orderkey % 3 = 2 THEN 'Edificio Los Alerces' ELSE 'Edificio Jose Miguel' END AS building_name,
-      CASE WHEN o_orderkey % 3 = 2 THEN 'Edificio Los Alerces' ELSE 'Edificio Jose Miguel' END || ', Curico ' || CAST(o_custkey AS VARCHAR)
+      CASE WHEN o_orderkey % 3 = 2 THEN 'Edificio Los Alerces' ELSE 'Edificio Jose Miguel' END || ', Calle Norte ' || CAST(o_custkey AS VARCHAR)
         || ' Depto.' || CAST(o_custkey % 300 AS VARCHAR) || ', Santiago' AS address,
-      'JORGE CORDERO' AS owner_name, CAST(o_orderkey % 90000 + 10000 AS VARCHAR) AS last_payment_folio,
-      585.396::DOUBLE AS hot_water_reading_prev, 2.983::DOUBLE AS hot_water_consumption, 7034.7::DOUBLE AS hot_water_cost_per_m3,
+      'ANA PRUEBA' AS owner_name, CAST(o_orderkey % 90000 + 10000 AS VARCHAR) AS last_payment_folio,
+      410.254::DOUBLE AS hot_water_reading_prev, 3.257::DOUBLE AS hot_water_consumption, 6120.45::DOUBLE AS hot_water_cost_per_m3,
       'success' AS extraction_status FROM g""",
 )
 def common_expenses_reconcile(spark: SparkSession, folder: str) -> DataFrame:

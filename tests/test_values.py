@@ -26,8 +26,8 @@ def test_quantities(spark):
     assert column(spark, ["12.5", "12,5", "1.500", "150", "x", None], S.parse_decimal) == [
         12.5, 12.5, 1500.0, 150.0, 0.0, None
     ]
-    meters = ["585,396000", "585396000", "2,983000", "588.379000", "2983000"]
-    assert column(spark, meters, S.parse_meter) == [585.396, 585.396, 2.983, 588.379, 2.983]
+    meters = ["410,254000", "410254000", "3,257000", "413.511000", "3257000"]
+    assert column(spark, meters, S.parse_meter) == [410.254, 410.254, 3.257, 413.511, 3.257]
 
 
 def test_dates(spark):
