@@ -25,13 +25,15 @@ _TIMES = np.uint64(0xD6E8FEB86659FD93)
 class Settings:
     """Shingles of ``words``; links at ``similarity``; ``bands`` of ``rows`` components each.
 
-    A pair of similarity 0.8 shares a band with probability 0.9998.
+    A pair of similarity 0.8 shares a band with probability 0.9998. ``block`` is how many texts of a
+    bucket are compared with one another in one piece of work.
     """
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 16
     rows: int = 4
+    block: int = 2048
 
     @property
     def components(self) -> int:
@@ -200,6 +202,119 @@ def linked(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def _across(labelled: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links between members of a bucket that are in different components.
+
+    ``labelled`` has ``band, bucket, node, label``. The members outside a bucket's largest component
+    are compared with all its members. Both are dealt into blocks, and each block of the
+    ones meets each block of the others in a group of its own.
+    """
+    counted = labelled.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+    buckets = (
+        counted.groupBy("band", "bucket")
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("n").alias("most"),
+            F.max_by("label", F.struct("n", "label")).alias("main"),
+        )
+        .filter(F.col("n") > F.col("most"))
+        .select(
+            "band",
+            "bucket",
+            "main",
+            F.ceil(F.col("n") / settings.block).alias("blocks"),
+            F.ceil((F.col("n") - F.col("most")) / settings.block).alias("odd_blocks"),
+        )
+    )
+    members = labelled.select("band", "bucket", "node", "label").join(buckets, ["band", "bucket"])
+    home = F.xxhash64("node")
+
+    def placed(odd: bool) -> DataFrame:
+        mine, facing = ("odd_blocks", "blocks") if odd else ("blocks", "odd_blocks")
+        rows = members.filter(F.col("label") != F.col("main")) if odd else members
+        own, other = F.pmod(home, F.col(mine)), F.col("_other")
+        pair = (other, own) if odd else (own, other)
+        return rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(facing) - 1))).select(
+            F.xxhash64("band", "bucket", *pair).alias("block"),
+            F.lit(int(odd)).alias("odd"),
+            "node",
+            "label",
+            "band",
+        )
+
+    rows = placed(False).unionByName(placed(True)).join(texts, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_memo("hashes of words", _WordHashes)
+        for block in _blocks(batches):
+            found = _links_in_block(block, settings, hashes)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.binary()) for c in zip(*found)], ["left", "right"]
+                )
+
+    return (
+        rows.select("block", "odd", "node", "label", "band", "bands", "text")
+        .repartition("block")
+        .sortWithinPartitions("block", "odd", "node")
+        .mapInArrow(compare, "left binary, right binary")
+        .distinct()
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    block, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != block:
+                if rows:
+                    yield rows
+                block, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _links_in_block(rows: list[tuple], settings: Settings, hashes) -> list[tuple[bytes, bytes]]:
+    """Links of the odd members with all members of a block, through an index of shingles.
+
+    Pairs that meet in an earlier band are left to it.
+    """
+    sets = [weighted_shingles(words_of(r[6]), settings.words, hashes) for r in rows]
+    members = [k for k, r in enumerate(rows) if not r[1]]
+    odd = [k for k, r in enumerate(rows) if r[1]]
+    if not members or not odd:
+        return []
+    sizes = np.array([len(sets[k][0]) for k in members])
+    plain = np.array([bool((sets[k][1] == 1).all()) for k in members])
+    labels = {label: i for i, label in enumerate(sorted({r[3] for r in rows}))}
+    label = np.array([labels[rows[k][3]] for k in members])
+    bands = np.array([rows[k][5] for k in members], np.int64)
+    shingles = np.concatenate([sets[k][0] for k in members])
+    holder = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, holder = shingles[order], holder[order]
+    found = []
+    for k in odd:
+        mine, weights = sets[k]
+        first = np.searchsorted(shingles, mine)
+        count = np.searchsorted(shingles, mine, side="right") - first
+        places = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(holder[places], minlength=len(members))
+        similar = common / (len(mine) + sizes - common)
+        band = rows[k][4]
+        earlier = (bands[:, :band] == np.array(rows[k][5][:band], np.int64)).any(axis=1)
+        fresh = (label != labels[rows[k][3]]) & ~earlier
+        linked_ = fresh & (similar >= settings.similarity)
+        if not (weights == 1).all() or not plain.all():
+            unsure = fresh & ~linked_ & (common > 0) & ~(plain & bool((weights == 1).all()))
+            for j in np.flatnonzero(unsure):
+                if probability_jaccard(sets[k], sets[members[j]])[0] >= settings.similarity:
+                    linked_[j] = True
+        found += [(rows[k][2], rows[members[j]][2]) for j in np.flatnonzero(linked_)]
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's connected component.
 
@@ -249,9 +364,9 @@ def classes(
     id is smaller than any other, and its class has a NULL id. An empty table gives no rows.
 
     Each bucket of a band is first compared with one member only, the one with the most
-    neighbours over all bands. Members that this leaves in different components
-    are then compared with one another, so no link between candidates is lost, and a group of
-    near copies costs as many comparisons as it has members.
+    neighbours over all bands, which joins most groups of near copies. Members that this leaves in
+    different components are then compared block by block, so no link between candidates
+    is lost, no pair becomes a row unless it is a link, and a task holds two blocks at most.
     """
     sketched = written(sketches(docs, id_col, text_col, settings), "sketches")
     nodes = (
@@ -281,42 +396,20 @@ def classes(
         .select(F.col("node").alias("left"), F.col("hub").alias("right"))
         .distinct()
     )
-    involved = shared.select("node").distinct().join(nodes.select("node", "place"), "node").select(
-        "node", "place.*"
+    involved = shared.select("node").distinct().join(
+        nodes.select("node", "bands", "place.*"), "node"
     )
     keyed = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     texts = written(
-        keyed.join(involved, KEY).groupBy("node").agg(F.any_value("text").alias("text")), "texts"
+        keyed.join(involved, KEY)
+        .groupBy("node")
+        .agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands")),
+        "texts",
     )
     links = cut(linked(stars, texts, settings))
     labels = components(links)
     labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_buckets = (
-        labelled.groupBy("band", "bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select("band", "bucket")
-    )
-    rest = cut(labelled.join(open_buckets, ["band", "bucket"]).select("band", "bucket", "node", "size", "label"))
-    mine = rest.select("band", "bucket", F.col("node").alias("left"), F.col("size").alias("a"), F.col("label").alias("la"))
-    other = rest.select("band", "bucket", F.col("node").alias("right"), F.col("size").alias("b"), F.col("label").alias("lb"))
-    crossing = (
-        mine.join(
-            other,
-            (mine["band"] == other["band"])
-            & (mine["bucket"] == other["bucket"])
-            & (F.col("left") < F.col("right"))
-            & (F.col("la") != F.col("lb")),
-        )
-        .select("left", "right")
-        .distinct()
-    )
-    untested = crossing.join(
-        stars.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")),
-        ["left", "right"],
-        "left_anti",
-    )
-    more = cut(linked(untested, texts, settings))
+    more = cut(_across(labelled, texts, settings))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     grouped = sketched.join(labels, "node", "left").select(
