@@ -243,10 +243,6 @@ def norm_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_marks(text)), r"[^a-z0-9]+", " "))
 
 
-def norm_key(text: Column) -> Column:
-    return F.translate(norm_text(text), " ", "_")
-
-
 def line_skeleton(norm: Column) -> Column:
     """Normalised line without placeholders, month names and numbers."""
     ignored = [*rules.PLACEHOLDER_TOKENS, *[m for m in rules.MONTHS if m not in ("may", "sept")]]

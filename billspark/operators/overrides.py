@@ -11,14 +11,22 @@ from billspark.operators.derive import recompute
 from billspark.schema import ATTRS
 
 
-def canonical_value(value: Column) -> Column:
-    """Whole numbers without a fraction, everything else as given."""
-    number = value.try_cast("double")
-    whole = F.when(
-        number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 9e18),
-        number.cast("bigint").cast("string"),
+_NUMBERS = ("bigint", "int", "double")
+
+
+def canonical_value(value: Column, attr: Column) -> Column:
+    """Numbers for numeric attributes, whole ones without a fraction; texts stay as given.
+
+    Numbers go through decimals, so long ones keep all digits. NULL where a numeric attribute gets
+    something else.
+    """
+    number = F.trim(value).try_cast("decimal(38,9)")
+    whole = number.cast("decimal(29,0)")
+    short = F.when(number == whole, whole.cast("string")).otherwise(
+        F.regexp_replace(number.cast("string"), r"0+$", "")
     )
-    return F.coalesce(whole, value)
+    numeric = attr.isin(*[a for a, kind in ATTRS.items() if kind in _NUMBERS])
+    return F.when(numeric, short).otherwise(value)
 
 
 def attr_of_suffix(suffix: Column, service_type: Column) -> Column:
@@ -31,30 +39,39 @@ def attr_of_suffix(suffix: Column, service_type: Column) -> Column:
     )
 
 
-def set_values(requests: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Validated override rows from requests ``targets ARRAY, attr, suffix, value, ts``.
+def checked_values(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests ``targets ARRAY, attr, suffix, value, ts`` with the reason for which one is refused.
 
-    A request names exactly one account; without an attribute it is taken from
-    the suffix of the reading.
+    A request names exactly one account; without an attribute it is taken from the suffix of the
+    reading. ``reason`` is NULL for those that hold.
     """
-    one = requests.filter((F.size("targets") == 1) & F.col("value").isNotNull()).withColumn(
-        "account_id", F.get("targets", F.lit(0))
+    one = requests.withColumn("account_id", F.get("targets", F.lit(0)))
+    known = one.join(
+        accounts.select("account_id", F.col("service_type"), F.lit(True).alias("_known")), "account_id", "left"
+    ).withColumn("attr", F.coalesce("attr", attr_of_suffix(F.col("suffix"), F.col("service_type"))))
+    settable = [a for a, kind in ATTRS.items() if not kind.startswith("array")]
+    value = canonical_value(F.col("value"), F.col("attr"))
+    reason = (
+        F.when(F.coalesce(F.size("targets"), F.lit(0)) != 1, "not one account")
+        .when(F.col("_known").isNull(), "unknown account")
+        .when(F.col("attr").isNull(), "no attribute")
+        .when(~F.col("attr").isin(*settable), "unknown attribute")
+        .when(F.col("value").isNull() | value.isNull(), "unreadable value")
     )
-    known = one.join(accounts.select("account_id", "service_type"), "account_id")
-    return known.select(
-        "account_id",
-        F.coalesce("attr", attr_of_suffix(F.col("suffix"), F.col("service_type"))).alias("attr"),
-        canonical_value(F.col("value")).alias("value"),
-        "ts",
-    ).filter(F.col("attr").isNotNull())
+    return known.select("account_id", "attr", F.coalesce(value, "value").alias("value"), "ts", reason.alias("reason"))
+
+
+def set_values(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The override rows of requests that hold."""
+    return checked_values(requests, accounts).filter(F.col("reason").isNull()).drop("reason")
 
 
 def latest_overrides(overrides: DataFrame) -> DataFrame:
     """Latest value per account and attribute, as one map per account.
 
-    An account has at most one entry per attribute, so the map stays small.
+    Attributes are those of ``ATTRS``, so the map is bounded by their number.
     """
-    last = overrides.groupBy("account_id", "attr").agg(
+    last = overrides.filter(F.col("attr").isin(*ATTRS)).groupBy("account_id", "attr").agg(
         F.max(F.struct("ts", "value")).alias("last")
     )
     return last.groupBy("account_id").agg(
@@ -80,14 +97,20 @@ def apply_overrides(
         "_set", F.transform_values(valid, lambda k, v: v["value"])
     )
     changed: dict[str, Column] = {}
+    read: list[Column] = []
     for field, kind in ATTRS.items():
         if kind.startswith("array"):
             continue
         value = F.try_element_at("_set", F.lit(field)).try_cast(kind)
         changed[field] = F.coalesce(value, F.col(field))
-    scores = F.transform_values("_set", lambda k, v: F.lit(rules.CONF_OVERRIDE))
+        read.append(F.when(value.isNotNull(), F.lit(field)))
+    # only what could be read is settled; any other entry leaves its field as it was
+    settled = F.array_compact(F.array(*read))
+    scores = F.map_from_arrays(
+        settled, F.transform(settled, lambda f: F.lit(rules.CONF_OVERRIDE).cast("double"))
+    )
     others = F.map_filter(
-        F.coalesce("confidence", F.expr(EMPTY_MAP)), lambda k, v: ~F.map_contains_key("_set", k)
+        F.coalesce("confidence", F.expr(EMPTY_MAP)), lambda k, v: ~F.array_contains(settled, k)
     )
     df = df.withColumns(changed | {"confidence": F.map_concat(others, scores)})
     return recompute(df.drop("_set", "overrides"))

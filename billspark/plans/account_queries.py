@@ -170,18 +170,18 @@ def match_pairs(spark: SparkSession, folder: str) -> DataFrame:
       SELECT mailbox_id, k AS msg_seq FROM n WHERE rn <= 100""",
 )
 def recent_messages_query(spark: SparkSession, folder: str) -> DataFrame:
-    return recent_messages(_mail(spark, folder)).select("mailbox_id", "msg_seq")
+    return recent_messages(_mail(spark, folder), rules.RECENT_MESSAGES).select("mailbox_id", "msg_seq")
 
 
 @query(
     "latest_bill",
-    f"""WITH {MAIL}, n AS (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY k DESC) AS rn FROM m), {ACCOUNTS}
-      SELECT account_id, max(k) AS msg_seq, arg_max({SUBJECTS}[n.kind + 1], k) AS subject FROM a JOIN r USING (akind)
-      JOIN n ON n.mailbox_id = a.mailbox_id AND n.kind = r.kind AND rn <= 100 GROUP BY 1""",
+    f"""WITH {MAIL}, {ACCOUNTS}
+      SELECT account_id, max(k) AS msg_seq, arg_max({SUBJECTS}[m.kind + 1], k) AS subject FROM a JOIN r USING (akind)
+      JOIN m ON m.mailbox_id = a.mailbox_id AND m.kind = r.kind GROUP BY 1""",
 )
 def latest_bill_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest matching message per account among each mailbox's newest hundred."""
-    bills = latest_bill(recent_messages(_mail(spark, folder)), _accounts(spark, folder))
+    """Newest matching message per account, over all messages."""
+    bills = latest_bill(_mail(spark, folder), _accounts(spark, folder))
     return bills.select("account_id", "msg_seq", "subject")
 
 

@@ -24,15 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A base table; one kept in fewer files than there are cores is spread over them.
-
-    Reading bills is bound by the CPU, and a table in one small file would run as
-    a single task. Tables of cluster size have more files than cores and are
-    read as they lie.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A base table as it lies."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def half_even(numerator: str, denominator: str) -> str:

@@ -72,8 +72,11 @@ def _lit(option: Column | str | None) -> Column:
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with a whole total and a plain date."""
-    return table(spark, folder, "orders").select(
+    """Orders with a whole total and a plain date, dealt out by key.
+
+    A bill takes far more work than its order's row, so rows are spread before bills are rendered.
+    """
+    return table(spark, folder, "orders").repartition("o_orderkey").select(
         "o_orderkey",
         "o_custkey",
         F.floor("o_totalprice").alias("total"),

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from billspark.plans import render as R
 from billspark.plans.registry import query, table
 from billspark.session import ensure_checkpoint_dir
-from billspark.sources.tables import read_bill_texts, restore_state, save_state, write_bills
+from billspark.sources.tables import (
+    archive_ocr,
+    read_archive,
+    read_bill_texts,
+    restore_state,
+    save_state,
+    write_bills,
+)
 from billspark.streaming.streams import (
     latest_state,
     log_events,
@@ -141,7 +148,7 @@ def stream_events(spark: SparkSession, folder: str) -> DataFrame:
       sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS total_amount FROM orders GROUP BY 2""",
 )
 def stored_bills(spark: SparkSession, folder: str) -> DataFrame:
-    """Bills stored by month; writing the same bills twice stores them once."""
+    """Bills stored by month; keys that come again under another month are stored once."""
     out = _folder(spark, "bills")
     bills = R.orders(spark, folder).select(
         R.text("gas_", R.key().cast("string"), ".pdf").alias("document_key"),
@@ -151,13 +158,47 @@ def stored_bills(spark: SparkSession, folder: str) -> DataFrame:
         F.col("total").alias("total_amount"),
     )
     write_bills(bills, out)
-    write_bills(bills, out)
+    # the same keys under another month
+    later = F.date_format(F.add_months(F.col("day"), 1), "dd-MM-yyyy")
+    again = R.orders(spark, folder).select(
+        R.text("gas_", R.key().cast("string"), ".pdf").alias("document_key"),
+        F.lit("gas").alias("service_type"),
+        later.alias("emission_date"),
+        F.lit(None).cast("string").alias("billing_period_start"),
+        (F.col("total") + 1).alias("total_amount"),
+    )
+    write_bills(again, out)
     stored = read_bill_texts(spark, out)
     return stored.groupBy("service_type", F.col("bill_month").cast("string").alias("bill_month")).agg(
         F.count(F.lit(1)).alias("bills"), F.sum("total_amount").alias("total_amount")
     )
 
 
+@query(
+    "archived_responses",
+    """SELECT CAST(o_custkey % 10 AS VARCHAR) AS mailbox_id, count(*) AS stems, sum(CASE WHEN o_custkey % 10 = 1 THEN 2 ELSE 1 END)::BIGINT AS versions
+      FROM orders GROUP BY 1""",
+)
+def archived_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs into one archive, the second with one mailbox only: newest of each stem."""
+    out = _folder(spark, "archive")
+
+    def run(version: int) -> DataFrame:
+        return R.orders(spark, folder).select(
+            (F.col("o_custkey") % 10).cast("string").alias("mailbox_id"),
+            R.key().cast("string").alias("stem"),
+            F.lit(f'{{"version":{version}}}').alias("json"),
+            F.date_add("day", version).cast("timestamp").alias("mtime"),
+        )
+
+    archive_ocr(run(1), out, "first")
+    archive_ocr(run(2).filter(F.col("mailbox_id") == "1"), out, "second")
+    version = F.get_json_object("json", "$.version").cast("bigint")
+    return read_archive(spark, out).groupBy("mailbox_id").agg(
+        F.count(F.lit(1)).alias("stems"), F.sum(version).alias("versions")
+    )
+
+
 @query(
     "restored_state",
     "SELECT o_orderkey AS account_id, CAST(floor(o_totalprice) AS BIGINT) AS total_amount FROM orders WHERE o_orderkey % 3 <> 0",

@@ -35,8 +35,6 @@ CONF_OVERRIDE = 100.0
 # Operating values.
 RECENT_MESSAGES = 100
 DEFAULT_INTERVAL_MONTHS = 1
-DOCUMENTS_KEPT = 5
-DOCUMENT_MAX_AGE_DAYS = 365
 TEMPLATE_ID = "coe_administraciones"
 MAX_YEAR_DRIFT = 4
 KNOWN_BUILDING_NAME = "Edificio Jose Miguel"
@@ -304,10 +302,10 @@ ELECTRICITY_TABLE_PLAIN = CI + (
     + (_GROUPED + r"\s*\n") * 2
     + _GROUPED
 )
-TARIFF_CODE = CI + r"tipo\s+de\s+tarifa\s+contratada[:\s]+([^\n\r]{1,40})"
+TARIFF_CODE = CI + r"tipo\s+de\s+tarifa\s+contratada[:\s]+([^\n\r]+)"
 CONNECTED_POWER = CI + r"potencia\s+conectada[:\s]+([0-9]+(?:[.,][0-9]+)?)\s*(kVA|kW|MW)"
-AREA = CI + r"[áa]rea\s+t[íi]pica[:\s]+([^\n\r]{1,80})"
-SUBSTATION = CI + r"subestaci[oó]n[:\s]+([^\n\r]{1,80})"
+AREA = CI + r"[áa]rea\s+t[íi]pica[:\s]+([^\n\r]+)"
+SUBSTATION = CI + r"subestaci[oó]n[:\s]+([^\n\r]+)"
 
 # ---------------------------------------------------------------- fixed values
 # Common-expenses documents.
@@ -319,7 +317,7 @@ NOTE_DATES = CI + (
 )
 BUILDING_RUT = CI + r"rut[:\s]+(\d{7,9}-[\dkK])"
 BUILDING_NAME = CI + r"edificio\s+([\w\s]{2,40}?)\s*\n"
-BUILDING_ADDRESS = CI + r"rut:\s*\d[\d.-]+-[\dkK]\s*\n([^\n]{5,60})"
+BUILDING_ADDRESS = CI + r"rut:\s*\d[\d.-]+-[\dkK]\s*\n([^\n]{5,})"
 APARTMENT = CI + r"d[oe]pto\.?\s*(\d+)"
 OWNER = CSM + r"^([A-ZÀ-Ü]{2,}(?:\s+[A-ZÀ-Ü]{2,}){1,4})\s*$"
 ALICUOTA_TEXT = CI + r"(?:al[íif]cuota\s+total\s*)?[O0]\s*[,.]?\s*(\d{4,6})\s*%"

@@ -38,17 +38,11 @@ ATTRS: dict[str, str] = {
     "previous_measure": REAL, "actual_measure": REAL,
 }
 
-COMMON_ATTRS = [
-    name for name in ATTRS
-    if name in {
-        "emission_date", "billing_period_start", "billing_period_end", "address", "due_date",
-        "total_amount", "fixed_charge", "subtotal", "pdf_path", "pdf_url",
-    }
-] + list(ATTRS)[list(ATTRS).index("billing_period_month"):]
-
-MESSAGES = (
-    "mailbox_id string, msg_seq bigint, message_id string, from_addr string, subject string, "
-    "date_header string, body string, detect_text string, html string, plain_text string, "
-    "plain_raw string, attachments array<struct<filename:string,content_type:string,"
-    "head:binary,size:bigint>>, tracker_urls array<string>"
-)
+MESSAGE_FIELDS: dict[str, str] = {
+    "mailbox_id": TEXT, "msg_seq": MONEY, "message_id": TEXT, "from_addr": TEXT, "subject": TEXT,
+    "date_header": TEXT, "body": TEXT, "detect_text": TEXT, "html": TEXT, "plain_text": TEXT,
+    "plain_raw": TEXT,
+    "attachments": "array<struct<filename:string,content_type:string,head:binary,size:bigint>>",
+    "tracker_urls": "array<string>", "received_ts": "timestamp", "parse_error": TEXT,
+}
+MESSAGES = ", ".join(f"{name} {kind}" for name, kind in MESSAGE_FIELDS.items())

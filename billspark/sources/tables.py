@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billspark.functions.scalar import parse_bill_date
@@ -22,11 +22,14 @@ def read_bill_texts(
     return df if max_chars is None else df.withColumn("text", F.substring("text", 1, max_chars))
 
 
-def write_bills(bills: DataFrame, path: str, key: str = "document_key") -> None:
+def write_bills(
+    bills: DataFrame, path: str, key: str = "document_key", newest: str = "emission_date"
+) -> None:
     """Add the bills whose key is not stored yet, by service type and month.
 
-    Running the same batch again adds nothing, so a retried job is safe. Keys
-    are compared only with the partitions the batch touches.
+    A key is stored once, whatever month a later batch gives it. Of several rows of a batch with one
+    key, the one with the latest ``newest`` date is taken, ties by content, so running a
+    batch again adds nothing. Of the store only the keys are read.
     """
     spark = bills.sparkSession
     month = F.coalesce(
@@ -34,10 +37,16 @@ def write_bills(bills: DataFrame, path: str, key: str = "document_key") -> None:
         F.date_format(parse_bill_date(F.col("emission_date")), "yyyy-MM"),
         F.lit("unknown"),
     )
-    fresh = bills.withColumn("bill_month", month).dropDuplicates([key])
+    row = F.struct(*bills.columns)
+    order = F.struct(parse_bill_date(F.col(newest)), F.xxhash64(row))
+    fresh = (
+        bills.groupBy(F.col(key).alias("_key"))
+        .agg(F.max_by(row, order).alias("_row"))
+        .select("_row.*")
+        .withColumn("bill_month", month)
+    )
     if _exists(spark, path):
-        stored = spark.read.parquet(path).select("service_type", "bill_month", key)
-        fresh = fresh.join(stored, ["service_type", "bill_month", key], "left_anti")
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
     fresh.write.mode("append").partitionBy("service_type", "bill_month").parquet(path)
 
 
@@ -51,11 +60,26 @@ def restore_state(spark: SparkSession, path: str, snapshot: int) -> DataFrame:
     return spark.read.parquet(f"{path}/snapshot={snapshot}").filter(is_complete())
 
 
-def archive_ocr(responses: DataFrame, path: str) -> None:
-    """Raw OCR responses (``mailbox_id, stem, json``), a later run replacing a stem's earlier one."""
+def archive_ocr(responses: DataFrame, path: str, run: str) -> None:
+    """Raw OCR responses (``mailbox_id, stem, json, mtime``) of one run, newest of each stem.
+
+    A run has a folder of its own: it never touches what others stored, and writing it again
+    replaces only itself.
+    """
     responses.groupBy("mailbox_id", "stem").agg(
         F.max_by("json", "mtime").alias("json"), F.max("mtime").alias("mtime")
-    ).write.mode("overwrite").partitionBy("mailbox_id").json(path)
+    ).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_archive(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """The newest response of each stem over all runs, of those not older than ``since``."""
+    stored = spark.read.parquet(path)
+    if since is not None:
+        stored = stored.filter(F.col("mtime") >= since)
+    last = stored.groupBy("mailbox_id", "stem").agg(
+        F.max_by(F.struct("json", "mtime"), F.struct("mtime", F.col("run").cast("string"))).alias("last")
+    )
+    return last.select("mailbox_id", "stem", "last.*")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
