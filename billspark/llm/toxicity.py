@@ -78,17 +78,19 @@ def longest_stem(word: str, stems: dict[str, float]) -> float:
 def clause_weight(words: list[str], grammar: Grammar, memo: _Weights) -> float:
     """Run the composed transducers over a clause.
 
-    The state is (addressed, threatened, negated, reported). A target, threat, negation
-    or report word changes it; an insult adds its weight, scaled by the state in which
-    it is read. A negation holds for the next three words, the others to the clause's end.
+    The state is (addressed, threatened, negated, reported). A target, threat, negation or report
+    word changes it; an insult adds its weight, scaled by the state in which it is first
+    read. A negation holds for the next three words, the others to the clause's end.
     """
     weights = [memo[w] for w in words]
     if not any(weights):
         return 0.0
     total, negated_left = 0.0, 0
+    seen: set[str] = set()
     addressed = threatened = reported = False
     for word, weight in zip(words, weights):
-        if weight > 0:
+        if weight > 0 and word not in seen:
+            seen.add(word)
             scale = 1.0
             if addressed:
                 scale *= grammar.addressed
@@ -176,13 +178,15 @@ def labelled_sample(
     )
 
 
-def learn(sample: DataFrame, shortlist: int = 2000, chance: float = 0.05) -> Grammar:
+def learn(
+    sample: DataFrame, shortlist: int = 2000, chance: float = 0.05, least_weight: float = 4.0
+) -> Grammar:
     """Fit stems, weights and the output on a sample of bounded size.
 
     Beginnings of words are counted by label; the ``shortlist`` most telling are tried in
     turn. One is kept if it tells more than chance would over all candidates, and if
-    it is not found mainly in the toxic texts of one kept before it: longer beginnings of a known
-    stem, and words that merely recur in near copies of a toxic text, go that way.
+    it is not confined to a small part of the toxic texts of one kept before it, as
+    words are that merely recur in near copies of a toxic text.
     """
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -216,7 +220,7 @@ def learn(sample: DataFrame, shortlist: int = 2000, chance: float = 0.05) -> Gra
     n_features = counted.filter(F.col("toxic") + F.col("clean") >= 3).count()
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     best = (
-        counted.filter((F.col("toxic") >= 3) & (weight > 2))
+        counted.filter((F.col("toxic") >= 3) & (weight >= least_weight))
         .orderBy(F.desc(F.col("toxic") * weight), F.length("feature"), "feature")
         .limit(shortlist)
         .collect()
@@ -255,9 +259,24 @@ def learn(sample: DataFrame, shortlist: int = 2000, chance: float = 0.05) -> Gra
     stems: dict[str, float] = {}
     for value, feature, b in ranked:
         held = holders.get(feature, set())
-        if value < need or any(len(held & holders[s]) >= 0.9 * len(held) for s in stems):
+        if value < need or feature.startswith(tuple(stems)):
             continue
-        stems[feature] = math.log((len(held) + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        # a small part of one stem's texts: words that merely recur in near copies
+        part_of = (h for h in map(holders.get, stems) if len(held & h) >= 0.9 * len(held))
+        if any(len(held) < 0.5 * len(h) for h in part_of):
+            continue
+        # a beginning of stems that are known has to tell something without them
+        alone = held.difference(*(holders[s] for s in stems if s.startswith(feature)))
+        if not alone or gain(len(alone), b) < need:
+            continue
+        # as much of the word as nearly all of these texts share
+        longer = [
+            f
+            for f, h in holders.items()
+            if f.startswith(feature) and not f.endswith("$") and len(h & held) >= 0.95 * len(held)
+        ]
+        stem = max([feature, *longer], key=lambda f: (len(f), f))
+        stems[stem] = math.log((len(held) + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
     grammar = Grammar(stems)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
