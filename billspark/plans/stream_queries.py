@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billspark import rules
 from billspark.plans import render as R
 from billspark.plans.registry import query, table
 from billspark.session import ensure_checkpoint_dir
+from billspark.sources.messages import parse_messages
 from billspark.sources.tables import (
     archive_ocr,
     read_archive,
@@ -19,8 +21,10 @@ from billspark.sources.tables import (
     write_bills,
 )
 from billspark.streaming.streams import (
+    alert_drift,
+    keep_latest,
     latest_state,
-    log_events,
+    log_cycles,
     offer_services,
     read_latest,
     report_overdue,
@@ -63,7 +67,7 @@ def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "view", F.col("value")).alias("view"),
     )
     state = latest_state(bills, ["event_type", "purchase", "view"], ["purchase", "view"])
-    _finish(state, write_batches(f"{out}/rows"), out, "update")
+    _finish(state, keep_latest(f"{out}/rows"), out, "update")
     return read_latest(spark, f"{out}/rows")
 
 
@@ -97,7 +101,7 @@ def stream_overdue(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("msg_seq"),
         F.col("ts").cast("timestamp").alias("last_updated"),
     )
-    _finish(latest_state(bills, ["last_updated"]), write_batches(f"{out}/state"), out, "update")
+    _finish(latest_state(bills, ["last_updated"]), keep_latest(f"{out}/state"), out, "update")
     accounts = read_latest(spark, f"{out}/state").select(
         "account_id", F.lit("gas").alias("service_type"),
         (1 + F.col("account_id") % 2).cast("int").alias("billing_interval_months"),
@@ -107,7 +111,7 @@ def stream_overdue(spark: SparkSession, folder: str) -> DataFrame:
             accounts, f"{out}/state", f"{out}/flags", F.lit(moment).cast("timestamp")
         )
         report(accounts, batch)
-    return read_latest(spark, f"{out}/flags").select("account_id", "problem")
+    return read_latest(spark, f"{out}/flags/flags").select("account_id", "problem")
 
 
 @query(
@@ -134,11 +138,96 @@ def stream_discovery(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT event_type AS event, count(*) AS rows FROM events GROUP BY 1",
 )
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Timeline entries of a stream."""
-    out = _folder(spark, "timeline")
+    """Events counted over a stream, batch by batch."""
+    out = _folder(spark, "events")
     events = _stream(spark, folder, "events").select(F.col("event_type").alias("event"))
-    _finish(events, log_events(f"{out}/rows"), out, "append")
-    return spark.read.parquet(f"{out}/rows").groupBy("event").agg(F.sum("rows").alias("rows"))
+    _finish(events, write_batches(f"{out}/rows"), out, "append")
+    return spark.read.parquet(f"{out}/rows").groupBy("event").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "stream_messages",
+    """SELECT CAST(o_custkey % 10 AS VARCHAR) AS mailbox_id, count(DISTINCT o_orderkey // 2) AS messages,
+      max(o_orderkey // 2 * 2)::BIGINT AS newest FROM orders GROUP BY 1""",
+)
+def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw messages parsed from a stream, each delivered up to twice, kept once."""
+    out = _folder(spark, "messages")
+    pair = (F.floor(R.key() / 2) * 2).cast("bigint")
+    content = R.joined([
+        "From: a@b.cl\r\nMessage-ID: <", pair.cast("string"), "@mail>\r\nDate: Mon, 02 Feb 2026 10:00:00 +0000\r\n\r\nBoleta ", pair.cast("string"),
+    ])
+    files = _stream(spark, folder, "orders").select(
+        (F.col("o_custkey") % 10).cast("string").alias("mailbox_id"), pair.alias("msg_seq"),
+        F.encode(content, "utf-8").alias("content"),
+    )
+    _finish(without_duplicates(parse_messages(files)), write_batches(f"{out}/rows"), out, "append")
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy("mailbox_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.max("msg_seq").alias("newest")
+    )
+
+
+@query(
+    "stream_drift",
+    """WITH a AS (SELECT CAST(mod(o_orderkey, 10) AS VARCHAR) AS mailbox_id, count(*) AS accounts FROM orders GROUP BY 1)
+      SELECT mailbox_id, 0 AS batch_id, accounts AS reports, false AS cleared FROM a
+      UNION ALL SELECT mailbox_id, 2, 1, true FROM a WHERE mailbox_id = '1'
+      UNION ALL SELECT mailbox_id, 3, accounts, false FROM a WHERE mailbox_id = '1'""",
+)
+def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts over four batches: new drift, the same again, cleared in one mailbox, and back."""
+    out = _folder(spark, "drift")
+    accounts = R.orders(spark, folder).select(
+        R.key().alias("account_id"), (R.key() % 10).cast("string").alias("mailbox_id"),
+        F.lit(rules.COMMON_EXPENSES).alias("service_type"), F.lit("Gastos").alias("service_name"),
+    )
+    none = F.array().cast("array<string>")
+
+    def batch(significant: Column) -> DataFrame:
+        return accounts.select(
+            "account_id", significant.alias("is_significant"), F.lit(50.0).alias("anchor_coverage_pct"),
+            none.alias("missing_anchor_keys"), none.alias("value_gap_keys"), none.alias("unexpected_lines"),
+            none.alias("excerpt"),
+        )
+
+    sink = alert_drift(accounts, out)
+    for number, significant in enumerate(
+        (F.lit(True), F.lit(True), F.col("mailbox_id") != "1", F.lit(True))
+    ):
+        sink(batch(significant), number)
+    alerts = spark.read.parquet(f"{out}/alerts")
+    cleared = F.col("fingerprint").isNull()
+    return alerts.groupBy("mailbox_id", F.col("batch_id").cast("int").alias("batch_id"), cleared.alias("cleared")).agg(
+        F.count(F.lit(1)).alias("reports")
+    )
+
+
+@query(
+    "stream_timeline",
+    """WITH n AS (SELECT count(*) AS m FROM orders), s AS (SELECT count(*) AS c FROM customer)
+      SELECT 'cycle started' AS event, m AS messages, NULL::BIGINT AS services, NULL::BIGINT AS without_match, NULL::VARCHAR AS fault FROM n
+      UNION ALL SELECT 'cycle completed', NULL, c, c - (SELECT count(DISTINCT o_custkey) FROM orders), NULL FROM s
+      UNION ALL SELECT 'cycle started', 0, NULL, NULL, NULL UNION ALL SELECT 'cycle failed', NULL, NULL, NULL, 'ValueError'""",
+)
+def stream_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    """A cycle that succeeds over a stream of messages, then one that fails."""
+    out = _folder(spark, "timeline")
+    accounts = table(spark, folder, "customer").select(F.col("c_custkey").alias("account_id"))
+
+    def cycle(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("account_id").agg(F.max("day").cast("timestamp").alias("last_updated"))
+
+    def broken(messages: DataFrame) -> DataFrame:
+        raise ValueError("no connection")
+
+    messages = _stream(spark, folder, "orders").select(
+        F.col("o_custkey").alias("account_id"), F.to_date("o_orderdate").alias("day")
+    )
+    _finish(messages, log_cycles(accounts, cycle, f"{out}/rows"), out, "append")
+    nothing = R.orders(spark, folder).limit(0)
+    log_cycles(accounts, broken, f"{out}/rows")(nothing, 1)
+    return spark.read.parquet(f"{out}/rows").select("event", "messages", "services", "without_match", "fault")
 
 
 # ------------------------------------------------------------------------- sinks

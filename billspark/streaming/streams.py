@@ -68,12 +68,43 @@ def write_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_latest(spark: SparkSession, path: str, key: str = "account_id") -> DataFrame:
-    """Last row written per key."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (key, "batch_id")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return last.select(key, "v.*")
+def keep_latest(path: str, key: str = "account_id") -> Callable[[DataFrame, int], None]:
+    """Sink that keeps one compacted state: each batch writes the last row of every key.
+
+    A batch reads the state before it, never older batches, so its work grows with the number of
+    keys and not with the history. Run again, it writes the same state again.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        before = _state_before(batch.sparkSession, path, batch_id)
+        values = [c for c in batch.columns if c != key]
+        rows = batch.select(key, F.lit(1).alias("_turn"), F.struct(*values).alias("v"))
+        if before is not None:
+            rows = rows.unionByName(before.select(key, F.lit(0).alias("_turn"), F.struct(*values).alias("v")))
+        last = rows.groupBy(key).agg(F.max_by("v", "_turn").alias("v"))
+        last.select(key, "v.*").write.mode("overwrite").parquet(f"{path}/state={batch_id}")
+
+    return keep
+
+
+def _state_before(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
+    """The newest state in a folder, or the newest before a batch."""
+    if not exists(spark, path):
+        return None
+    stored = spark.read.parquet(path)
+    numbers = stored.select("state").distinct()  # answered from folder names
+    if batch_id is not None:
+        numbers = numbers.filter(F.col("state") < batch_id)
+    newest = numbers.agg(F.max("state")).first()[0]
+    return None if newest is None else stored.filter(F.col("state") == newest).drop("state")
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The state that ``keep_latest`` wrote last."""
+    found = _state_before(spark, path, None)
+    if found is None:
+        raise FileNotFoundError(path)
+    return found
 
 
 def start(
@@ -119,13 +150,12 @@ def report_overdue(
     def report(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = read_latest(spark, state_path)
-        if exists(spark, path):
-            written = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            last = written.groupBy("account_id").agg(F.max_by("problem", "batch_id").alias("problem"))
-        else:
+        last = _state_before(spark, f"{path}/flags", batch_id)
+        if last is None:
             last = spark.createDataFrame([], "account_id bigint, problem boolean")
         changes = overdue_transitions(state, accounts, last, now)
-        changes.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        changes.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+        keep_latest(f"{path}/flags")(changes.select("account_id", "problem"), batch_id)
 
     return report
 
@@ -163,34 +193,64 @@ def alert_drift(accounts: DataFrame, path: str) -> Callable[[DataFrame, int], No
             report.select("mailbox_id"), "mailbox_id", "left_anti"
         )
         fresh = report
-        if exists(spark, path):
-            stored = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            last = stored.groupBy("mailbox_id").agg(
-                F.max_by(F.struct("fingerprint"), "batch_id").alias("l")
-            ).select("mailbox_id", "l.fingerprint")
+        last = _state_before(spark, f"{path}/fingerprints", batch_id)
+        if last is not None:
             fresh = drift_alerts(report, last.filter(F.col("fingerprint").isNotNull()))
         cleared = quiet.select(
             "mailbox_id",
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in report.schema if f.name != "mailbox_id"],
         )
-        fresh.unionByName(cleared).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh.unionByName(cleared).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        prints = report.select("mailbox_id", "fingerprint").distinct().unionByName(
+            cleared.select("mailbox_id", "fingerprint")
+        )
+        keep_latest(f"{path}/fingerprints", "mailbox_id")(prints, batch_id)
 
     return alert
 
 
 def cycle_events(accounts: DataFrame, state: DataFrame) -> DataFrame:
-    """Timeline entry of a finished cycle: ``ts, event, services, without_match``."""
-    return cycle_summary(accounts, state).select(
-        F.current_timestamp().alias("ts"), F.lit("cycle completed").alias("event"), "*"
-    )
+    """Timeline entry of a finished cycle: ``event, services, without_match``."""
+    return cycle_summary(accounts, state).select(F.lit("cycle completed").alias("event"), "*")
 
 
-def log_events(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink that appends a start, done or failed entry with row counts per batch."""
+def log_cycles(
+    accounts: DataFrame, cycle: Callable[[DataFrame], DataFrame], path: str
+) -> Callable[[DataFrame, int], None]:
+    """Sink that runs ``cycle`` on each batch (messages to account state) and keeps a timeline.
+
+    An entry says that a cycle started with so many messages, and one that it was completed, with
+    the number of services and of those without a match, or that it failed, and why. A
+    failed cycle does not end the stream; its messages are in the next full refresh.
+    """
 
     def log(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("event").agg(F.count(F.lit(1)).alias("rows")).withColumn(
-            "ts", F.current_timestamp()
-        ).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+
+        def enter(entry: DataFrame, step: str) -> None:
+            entry.withColumn("ts", F.current_timestamp()).write.mode("overwrite").parquet(
+                f"{path}/batch_id={batch_id}/step={step}"
+            )
+
+        none = F.lit(None)
+        started = batch.agg(F.count(F.lit(1)).alias("messages")).select(
+            F.lit("cycle started").alias("event"), "messages",
+            none.cast("bigint").alias("services"), none.cast("bigint").alias("without_match"),
+            none.cast("string").alias("fault"),
+        )
+        enter(started, "1")
+        try:
+            done = cycle_events(accounts, cycle(batch)).select(
+                "event", none.cast("bigint").alias("messages"), "services", "without_match",
+                none.cast("string").alias("fault"),
+            )
+            enter(done, "2")
+        except Exception as fault:  # the timeline is where it has to show
+            failed = spark.range(1).select(
+                F.lit("cycle failed").alias("event"), none.cast("bigint").alias("messages"),
+                none.cast("bigint").alias("services"), none.cast("bigint").alias("without_match"),
+                F.lit(type(fault).__name__).alias("fault"),
+            )
+            enter(failed, "2")
 
     return log
