@@ -15,6 +15,7 @@ from billspark.operators.accounts import (
     recent_messages,
     unmatched_accounts,
 )
+from billspark.operators.confidence import EMPTY_MAP, with_fields
 from billspark.operators.derive import changed_fields, recompute
 from billspark.operators.detect import classify_type, detect_services, new_services
 from billspark.operators.merge import (
@@ -38,8 +39,11 @@ from billspark.operators.outputs import (
     status_details,
 )
 from billspark.operators.overrides import apply_overrides, set_values
+from billspark.operators.poll import refresh
 from billspark.plans import render as R
 from billspark.plans.registry import query, table
+from billspark.schema import ATTRS
+from billspark.sources.messages import parse_messages
 
 ORDERS = """o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS total,
   CAST(o_orderdate AS DATE) AS day FROM orders)"""
@@ -209,9 +213,6 @@ def changed_only_query(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("total_amount"),
         F.when(account % 2 == 0, F.lit(2.0)).alias("cost_per_m3s"),
     )
-    from billspark.operators.confidence import with_fields
-    from billspark.schema import ATTRS
-
     complete = with_fields(state, ATTRS).withColumn("is_complete", is_complete())
     return changed_only(latest, complete).select("account_id", "msg_seq")
 
@@ -564,3 +565,63 @@ def cycle_summary_query(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.max(parse_bill_date(R.dmy(F.col("day")))).cast("timestamp").alias("last_updated"))
     )
     return cycle_summary(accounts, state)
+
+
+# -------------------------------------------------------------------------- poll
+@query(
+    "poll_cycle",
+    f"""WITH {ORDERS}, l AS (SELECT o_custkey % 10 AS box, max(o_orderkey) AS k, arg_max(total, o_orderkey) AS total, arg_max(day, o_orderkey) AS day FROM o GROUP BY 1),
+      a AS (SELECT unnest(range(12)) AS account_id),
+      s AS (SELECT account_id, k, account_id IN (3, 10) AS kept, total + CASE WHEN account_id % 2 = 0 THEN 1 ELSE 0 END AS total, day FROM a LEFT JOIN l ON box = account_id)
+      SELECT account_id::BIGINT AS account_id, CASE WHEN kept THEN 7 ELSE total END::BIGINT AS total_amount,
+        CASE WHEN kept THEN 2.0 WHEN k IS NOT NULL THEN 12.5 END::DOUBLE AS consumption,
+        CASE WHEN kept THEN '2020-01-01 12:00:00' ELSE strftime(day, '%Y-%m-%d') || ' 12:00:00' END AS last_updated,
+        coalesce(CASE WHEN kept THEN DATE '2020-01-01' ELSE day END + INTERVAL 1 MONTH < DATE '2001-07-01', true) AS problem FROM s""",
+)
+def poll_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw mail to account state: even mailboxes have a document, one is unchanged, two have no mail."""
+    body = R.lines(
+        R.text("Total a pagar $ ", R.clp(F.col("total"))), "Consumo de gas: 12,50 m3",
+        R.text("Fecha de emisión: ", R.dmy(F.col("day"))),
+    )
+    box = (F.col("o_custkey") % 10).cast("bigint")
+    key = R.key().cast("string")
+    files = R.orders(spark, folder).select(
+        box.cast("string").alias("mailbox_id"), R.key().alias("msg_seq"),
+        F.encode(
+            R.text("From: no-reply@metrogas.cl\r\nSubject: Boleta Metrogas\r\nMessage-ID: <", key,
+                   "@m>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n", body),
+            "utf-8",
+        ).alias("content"),
+    )
+    messages = parse_messages(files)
+    accounts = spark.range(12).select(
+        F.col("id").alias("account_id"), F.col("id").cast("string").alias("mailbox_id"),
+        F.lit("gas").alias("service_id"), F.lit("Gas").alias("service_name"), F.lit(rules.GAS).alias("service_type"),
+        F.lit("no-reply@metrogas.cl").alias("sample_from"), F.lit("").alias("sample_subject"),
+        F.lit(1).alias("billing_interval_months"),
+    )
+    document = R.lines(R.text("Total a pagar $ ", R.clp(F.col("total") + 1)), "Gas consumido ( 12,50 m3s )")
+    texts = R.orders(spark, folder).filter(box % 2 == 0).select(
+        box.alias("account_id"), R.key().alias("msg_seq"), document.alias("text"), F.lit(None).cast("string").alias("fault")
+    )
+    newest = R.orders(spark, folder).filter(box == 3).agg(F.max(R.key()).alias("k"))
+    before = newest.select(
+        F.lit(3).cast("bigint").alias("account_id"), F.concat(F.lit("<"), F.col("k").cast("string"), F.lit("@m>")).alias("email_fingerprint")
+    ).unionByName(spark.range(10, 11).select(F.col("id").alias("account_id"), F.lit("other").alias("email_fingerprint")))
+    state = with_fields(
+        before.select(
+            "*", F.lit(rules.GAS).alias("service_type"), F.lit("2020-01-01 12:00:00").cast("timestamp").alias("last_updated"),
+            F.lit(7).cast("bigint").alias("total_amount"), F.lit(2.0).alias("consumption"), F.lit(3.5).alias("cost_per_m3s"),
+            F.lit(True).alias("is_complete"), F.expr(EMPTY_MAP).alias("confidence"),
+            *[F.lit(None).cast("string").alias(c) for c in ("extraction_status", "extraction_source", "extraction_error")],
+        ),
+        ATTRS,
+    )
+    after = refresh(messages, accounts, texts, state)
+    now = F.lit("2001-07-01 00:00:00").cast("timestamp")
+    flags = problem_status(after, accounts, now).select("account_id", "problem")
+    return after.join(flags, "account_id").select(
+        "account_id", "total_amount", "consumption",
+        F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"), "problem",
+    )
