@@ -19,19 +19,31 @@ from billspark.llm.queries import vocabulary
 from billspark.llm.toxicity import score_documents
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id and text, and all other columns as one, which no operator's own columns can meet."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None)
+    return docs.select("doc_id", "text", rest.alias("_others"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    own = ("doc_id", "text")
+    return packed.select(*[F.col(c) if c in own else F.col(f"_others.{c}").alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_documents(docs, labels, remainder() == 0)
-    return scored.filter(F.col("score") < 0.5).select(*docs.columns)
+    scored = score_documents(_packed(docs), labels, remainder() == 0)
+    return _unpacked(scored.filter(F.col("score") < 0.5), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many of them repeat; ``n_chars`` follows the text."""
-    kept = drop_repeated_lines(docs)
+    kept = _unpacked(drop_repeated_lines(_packed(docs)), docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
