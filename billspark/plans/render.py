@@ -76,7 +76,10 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
     A bill takes far more work than its order's row, so rows are spread before bills are rendered.
     """
-    return table(spark, folder, "orders").repartition("o_orderkey").select(
+    spread = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return table(spark, folder, "orders").repartition(spread, "o_orderkey").select(
         "o_orderkey",
         "o_custkey",
         F.floor("o_totalprice").alias("total"),
