@@ -432,8 +432,6 @@ DRIFT_MIN_MISSING_RATIO = 0.35
 DRIFT_MIN_GAPS = 4
 DRIFT_MIN_GAP_RATIO = 0.35
 DRIFT_MIN_UNEXPECTED = 1
-DRIFT_EXCERPT_LINES = 10
-DRIFT_LINE_CHARS = 200
 PLACEHOLDER_TOKENS = [
     "dd", "mm", "aaaa", "xx", "xxx", "xxxx", "xxxxxxxxx",
     "referencial", "nombre", "apellido", "mes",
