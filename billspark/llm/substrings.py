@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billspark.llm.common import (
-    KEY,
     NO_ID,
     row_key,
     rows_at_once,
