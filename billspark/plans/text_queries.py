@@ -11,7 +11,7 @@ from billspark.functions.python_udfs import html_to_text
 from billspark.operators.derive import finalize_common
 from billspark.operators.email_fields import extract_email
 from billspark.operators.merge import with_diagnostics
-from billspark.operators.outputs import last_update, problem_status
+from billspark.operators.outputs import last_update, bill_problem
 from billspark.operators.text_fields import extract_bills
 from billspark.plans import render as R
 from billspark.plans.registry import half_even, query, table
@@ -56,17 +56,13 @@ def gas_bill_totals(spark: SparkSession, folder: str) -> DataFrame:
 def overdue_by_segment(spark: SparkSession, folder: str) -> DataFrame:
     """Bills read from messages, judged at a fixed moment, counted by segment."""
     mail = R.general_mail(R.orders(spark, folder))
-    bills = extract_email(mail).withColumns(
-        {"account_id": F.col("o_orderkey"), "last_updated": last_update(F.col("emission_date"))}
-    )
-    bills = bills.withColumn("billing_interval_months", (1 + F.col("o_orderkey") % 12).cast("int"))
-    accounts = bills.select("account_id", "o_custkey", "service_type", "billing_interval_months", "total_amount")
-    state = bills.select("account_id", "last_updated")
-    status = problem_status(state, accounts, F.lit("1998-09-02 00:00:00").cast("timestamp"))
+    months = (1 + F.col("o_orderkey") % 12).cast("int")
+    now = F.lit("1998-09-02 00:00:00").cast("timestamp")
+    problem = bill_problem(last_update(F.col("emission_date")), now, months, F.lit(False))
+    bills = extract_email(mail).select("o_custkey", "total_amount", problem.alias("problem"))
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return (
-        status.join(accounts.select("account_id", "o_custkey", "total_amount"), "account_id")
-        .join(customers, F.col("c_custkey") == F.col("o_custkey"))
+        bills.join(customers, F.col("c_custkey") == F.col("o_custkey"))
         .groupBy("c_mktsegment", "problem")
         .agg(F.count(F.lit(1)).alias("accounts"), F.sum("total_amount").alias("total_amount"))
     )
