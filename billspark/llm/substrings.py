@@ -121,7 +121,14 @@ def sampled(
     last = np.concatenate((first[1:], [n])) - 1
     good = valid[first]
     first, last = first[good], last[good]
-    return key[first], doc[first], first, last
+    return _spread(key[first]), doc[first], first, last
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes mixed once more: sampled ones are small, and their first bits choose a partition."""
+    h = (h ^ (h >> np.uint64(31))) * _P
+    h = (h ^ (h >> np.uint64(29))) * _Q
+    return h ^ (h >> np.uint64(32))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
