@@ -99,12 +99,17 @@ def _state_before(spark: SparkSession, path: str, batch_id: int | None) -> DataF
     return None if newest is None else stored.filter(F.col("state") == newest).drop("state")
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The state that ``keep_latest`` wrote last."""
-    found = _state_before(spark, path, None)
-    if found is None:
-        raise FileNotFoundError(path)
-    return found
+def read_latest(spark: SparkSession, path: str, key: str = "account_id") -> DataFrame:
+    """The last row written per key: the newest state of ``keep_latest``.
+
+    Batches kept one by one with ``write_batches`` are read whole.
+    """
+    rows = spark.read.parquet(path)
+    if "batch_id" not in rows.columns:
+        return _state_before(spark, path, None)
+    values = [c for c in rows.columns if c not in (key, "batch_id")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return last.select(key, "v.*")
 
 
 def start(
