@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from billspark.llm.common import KEY, row_key, text_or_empty
+from billspark.llm.common import text_or_empty
 
 #: Normalised sentences of licences, by identifier. One identifier may have several.
 SENTENCES = [
@@ -105,6 +104,12 @@ RULES = [
 
 #: Where a sentence ends: at a line break, or at a mark that a blank follows.
 SENTENCE_END = r"\n+|[.!?;:]+[ \t]+"
+#: Words that only mark a line as a comment; marks without letters go with normalisation.
+COMMENT_WORD = r"(?im)^[ \t]*(?:dnl|@?rem)[ \t]+"
+#: A piece that is nothing but an address.
+ADDRESS = r"^[^A-Za-z0-9]*(?:https?://|www\.)\S+\s*$"
+#: Numbers of lists, within normalised text.
+NUMBER = "(?:[0-9]{1,3}|[a-z]|[ivx]{2,4})"
 
 
 def anchor_words(sentences: list[tuple[str, str]]) -> list[str]:
@@ -130,6 +135,26 @@ def _marks(identifiers: list[str]) -> str:
     return "".join(f"<{x}>" for x in identifiers)
 
 
+def _pattern(sentences: list[str]) -> str:
+    """Any of the sentences, the longest first, over any number of whole pieces."""
+    longest = sorted(set(sentences), key=lambda x: (-len(x), x))
+    spelled = "|".join(x.replace(" ", "(?: \\|)? ") for x in longest)
+    return f"(?<=^|\\| )((?:{NUMBER} )?)({spelled})(?= \\||$)"
+
+
+def _pieces(text: Column) -> Column:
+    """Normalised pieces of a text with ' | ' between them; those without words are left out.
+
+    Addresses are written as ~, so that they are not words.
+    """
+    lines = F.regexp_replace(F.regexp_replace(text, "[\\x0B\\f\\r]", "\n"), COMMENT_WORD, "")
+    pieces = F.transform(
+        F.split(lines, SENTENCE_END),
+        lambda x: F.when(x.rlike(ADDRESS), F.lit("~")).otherwise(normalised(x)),
+    )
+    return F.array_join(F.filter(pieces, lambda x: x != ""), " | ")
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,61 +169,56 @@ def scan_licenses(
     licences whose rules they satisfy, in the order of the rules; and what no rule took. A
     NULL, empty or licence-free text has empty values.
 
+    A known sentence may run over several pieces, as in wrapped and commented notices and where
+    it holds marks itself; it starts and ends where pieces do, and the longest is taken. Numbers
+    and addresses between two sentences are no other sentence.
+
     Rules are sequences without gaps. They are tried in their order, and each takes its sentences
     away, so a longer licence is not read as a shorter one. Most texts have none of a
-    few words that every known sentence needs, and are not split. Only found
-    sentences are shuffled. The tables of rules are constants and go into the plan.
+    few words that every known sentence needs, and are not split. Nothing is shuffled. The
+    tables of rules are constants and go into the plan.
     """
-    spark = docs.sparkSession
-    schema = StructType([StructField(n, StringType()) for n in ("sentence", "identifier")])
-    table = spark.createDataFrame([(s, i) for i, s in sentences], schema)
     text = text_or_empty(text_col)
     lower = F.lower(text)
     hopeful = reduce(lambda a, b: a | b, [lower.contains(w) for w in anchor_words(sentences)])
-    keyed = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), text.alias("text"))
-    shortest = min(len(s) for _, s in sentences)
-    found = (
-        keyed.filter(hopeful)
-        .select(*KEY, F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "raw"))
-        .filter(F.length("raw") >= shortest)
-        .select(*KEY, "pos", normalised(F.col("raw")).alias("sentence"))
-        .join(F.broadcast(table), "sentence")  # a constant of some dozens of rows
-        .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "identifier"))).alias("found"))
+    pattern = _pattern([s for _, s in sentences])
+    names = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
+    # what stands before, between and after the sentences is at the even places
+    parts = F.split(F.regexp_replace("_pieces", pattern, "$1<$2<"), "<")
+    gap = lambda i: F.get("_parts", i)
+    strange = lambda g: F.exists(
+        F.split(g, "\\|"), lambda x: ~F.btrim(x).rlike(f"^(?:[0-9~ ]*|{NUMBER})$")
     )
     marked = F.array_join(
         F.transform(
-            "found",
-            lambda x, i: F.concat(
-                F.when(
-                    (i > 0) & (x["pos"] - F.get("found", F.greatest(i - 1, F.lit(0)))["pos"] > 1),
-                    F.lit("<?>"),
-                ).otherwise(""),
+            F.sequence(F.lit(1), F.size("_parts") - 2, F.lit(2)),
+            lambda i: F.concat(
+                F.when((i > 1) & strange(gap(i - 1)), F.lit("<?>")).otherwise(""),
                 F.lit("<"),
-                x["identifier"],
+                F.element_at(names, F.replace(gap(i), F.lit(" |"), F.lit(""))),
                 F.lit(">"),
             ),
         ),
         "",
     )
-    sequences = found.select(*KEY, marked.alias("sentence_ids"))
+    sequences = (
+        docs.select(F.col(id_col).alias("doc_id"), F.when(hopeful, _pieces(text)).alias("_pieces"))
+        .select("doc_id", parts.alias("_parts"))
+        .select("doc_id", F.when(F.size("_parts") > 2, marked).otherwise("").alias("sentence_ids"))
+    )
     left, hits = F.col("sentence_ids"), []
     for name, identifiers in rules:
         marks = F.lit(_marks(identifiers))
         hits.append(F.when(left.contains(marks), F.lit(name)))
         left = F.replace(left, marks, F.lit("<|>"))
-    names = F.array_distinct(F.array_compact(F.array(*hits)))
+    found = F.array_distinct(F.array_compact(F.array(*hits)))
     rest = F.regexp_replace(left, r"<[|?]>", "")
-    matched = sequences.select(
-        *KEY, "sentence_ids", F.array_join(names, ",").alias("licenses"), rest.alias("unmatched")
-    )
-    return (
-        keyed.drop("text")
-        .join(matched, KEY, "left")
-        .select(
-            "doc_id",
-            *[F.coalesce(c, F.lit("")).alias(c) for c in ("sentence_ids", "licenses", "unmatched")],
-        )
+    some = F.col("sentence_ids") != ""
+    return sequences.select(
+        "doc_id",
+        "sentence_ids",
+        F.when(some, F.array_join(found, ",")).otherwise("").alias("licenses"),
+        F.when(some, rest).otherwise("").alias("unmatched"),
     )
 
 

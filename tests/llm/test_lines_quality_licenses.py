@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -75,6 +76,73 @@ def test_license_rules_in_order(spark, odd):
     assert scan_licenses(odd.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DAMAGES."""
+ADS = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.\n\n"
+NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+GPL = """This %s is free software%s you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_full_license_texts_wrapped_and_commented(spark):
+    notices = {
+        "Apache-2.0": (APACHE, ""),
+        "MIT": (MIT, ""),
+        "BSD-2-Clause": (BSD % "", ""),
+        "BSD-3-Clause": (BSD % NAMES, ""),
+        "ISC": (ISC, ""),
+        "GPL-3.0-or-later": (GPL % ("program", ":", "", ",", 3), ""),
+        "GPL-2.0-or-later": (GPL % ("program", ";", "", ";", 2), ""),
+        "LGPL-3.0-or-later": (GPL % ("library", ":", "Lesser ", ",", 3), "<GnuHope><GnuSee>"),
+        "MPL-2.0": (MPL, ""),
+    }
+    rows, want = [], {}
+    for name, (text, rest) in notices.items():
+        for width in (10_000, 78, 72):
+            for mark in ("", " * ", "# ", "// ", ";; ", "dnl "):
+                lines = [x for p in text.split("\n") for x in textwrap.wrap(p, width) or [""]]
+                for end in ("\n", "\r\n"):
+                    want[len(rows)] = (name, rest)
+                    rows.append((len(rows), end.join(["/*", mark + "Copyright (c) 2020 Someone", mark, *(mark + x for x in lines), " */", "int main() {}"])))
+    got = collected(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in got} == want
+
+
+def test_license_gaps_and_sentences_inside_lines(spark):
+    four = BSD % (ADS + NAMES.replace("3.", "4."))
+    rows = [
+        (1, four),  # the acknowledgement itself is another sentence
+        (2, "Licensed under the MIT License\nand something else"),
+        (3, "We are not licensed under\nthe MIT License"),
+        (4, "(a) Licensed under CC BY 4.0\n(b) Licensed under the ISC License"),
+    ]
+    got = {r["doc_id"]: r for r in collected(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[1]["sentence_ids"] == "<BsdRedist><BsdSource><BsdBinary><BsdAds><?><BsdNames><BsdAsIs>"
+    assert got[2]["licenses"] == "MIT"
+    assert got[3]["sentence_ids"] == ""
+    assert got[4]["sentence_ids"] == "<CcByRef><IscRef>"
+
+
 def test_measures_match_brute_force(odd, plain):
     rx = re.compile(r"[^\x20\x09-\x0D]+")
 
