@@ -29,9 +29,12 @@ _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
-def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
+def encoder(path: str, end_id: int, added_tokens: bool = False) -> Callable[[str], bytes]:
     """A function from a text to its ids and ``end_id``, as little-endian 32-bit integers.
 
+    With ``added_tokens`` the tokenizer's own added tokens are one id each where a text spells them,
+    as in a tokenizer as it is loaded; else they are letters like others.
+
     The tokenizer never joins anything across white space, so texts are read chunk by chunk
     between ASCII blanks, and each chunk is encoded once and remembered. Chunks of
     plain letters are cut here and only their merges asked for; all others go
@@ -40,7 +43,7 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
     tokenizer.no_padding()
     tokenizer.no_truncation()
     merges = tokenizer.model.tokenize
@@ -71,8 +74,14 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
             return coded
 
     known = Known()
+    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> bytes:
+        # an added token splits a chunk, so a text that may hold one is read by the tokenizer itself
+        if added_tokens and any(t in text.lower() for t in added):
+            text = text.encode("utf-8", "replace").decode()
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join([packed[i] for i in ids]) + end
         if len(known) > REMEMBERED:
             known.clear()
             words.clear()
@@ -106,7 +115,7 @@ def pieces(
     """
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_memo(f"ids of {vocabulary} {end_id}", lambda: encoder(vocabulary, end_id))
+        encode = worker_memo(f"ids of {vocabulary} {end_id} added", lambda: encoder(vocabulary, end_id, True))
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

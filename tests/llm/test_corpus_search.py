@@ -180,6 +180,25 @@ def test_encoding_is_the_tokenizers(plain):
         assert np.frombuffer(encode(text), "<u4").tolist() == want
 
 
+def test_packing_gives_the_ids_of_an_unchanged_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary())
+    encode = packing.encoder(vocabulary(), 1, added_tokens=True)
+    texts = [
+        "a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>It's\n\n one<|endoftext|> ", "<|ENDOFTEXT|> x",
+        "<|endoftext|><|endoftext|>", "<|endof text|> <|endoftext| > |>", "no token <|here|>", "\ud800<|endoftext|>",
+    ]
+    for text in texts:
+        sound = text.encode("utf-8", "replace").decode()
+        assert np.frombuffer(encode(text), "<u4").tolist() == [*whole.encode(sound, add_special_tokens=False).ids, 1]
+    df = spark.createDataFrame(list(enumerate(texts[:-1])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in collected(packing.pieces(df, vocabulary()))}
+    for i, text in enumerate(texts[:-1]):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (zlib.crc32(ids.tobytes()), len(ids))
+
+
 def test_packing_round_trip(odd, plain):
     encode = packing.encoder(vocabulary(), 1)
     got = collected(packing.pack(packing.pieces(odd, vocabulary(), capacity=256, tail=64), capacity=256, together=32))
