@@ -28,8 +28,8 @@ MEASURES = (
 
 @dataclass(frozen=True)
 class Risk:
-    """At most ``share`` of a stratum's good documents may be rejected, but for a chance of
-    ``chance`` over all strata, measures and cutoffs together."""
+    """At most ``share`` of a stratum's good documents may be rejected by its cutoffs together, but
+    for a chance of ``chance`` over all strata. ``steps`` cutoffs of each measure are tried."""
 
     share: float = 0.05
     chance: float = 0.05
@@ -162,68 +162,121 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
     """``stratum, measure, cutoff, n_good, n_rejected`` chosen on labelled rows.
 
-    ``labelled`` has the stratum, ``quality`` and ``MEASURES``. A cutoff is safe if, were its
-    true false rejection rate above the risk, as few rejections as were seen would have at most
-    the allowed chance, divided by the number of strata, measures and cutoffs (Bonferroni). Of
-    the safe cutoffs of a measure the lowest is taken, as long as it rejects some bad document.
-    Measures and strata without one have no row.
+    ``labelled`` has ``doc_id``, the stratum, ``quality`` and ``MEASURES``. One half of the rows, by a
+    hash of the id, puts cutoffs in order: those that reject fewer good rows first, then those
+    that reject more bad ones, without those that add no bad row. On the other half the rules made
+    of the first one, two, three and more of them are tested in that order, each with all of
+    ``share`` and the stratum's part of ``chance``: were the rule's true false rejection rate above
+    the share, as few rejections as were seen would have at most that chance. The tests end at the
+    first rule that fails, so the number of rules costs nothing (fixed sequence), and a rule is
+    bounded as a whole, not measure by measure. The last rule that holds is taken.
+
+    ``n_good`` and ``n_rejected`` are counts of the tested half, for the whole rule. Strata in which
+    no rule holds have no row: with no false rejection it takes log(chance / strata) / log(1 -
+    share) good rows in the tested half.
     """
     steps = risk.steps
-    long = labelled.filter(F.col("quality").isNotNull()).select(
+    rows = labelled.filter(F.col("quality").isNotNull()).select(
         F.col(stratum).alias("stratum"),
         (F.col("quality") == 1).alias("good"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("measure"), F.least(F.col(m), F.lit(1.0)).alias("x"))
-                    for m in MEASURES
-                ]
-            )
-        ).alias("v"),
+        (F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)) == 0).alias("tested"),
+        F.array(
+            *[F.ceil(F.least(F.col(m), F.lit(1.0)) * steps).cast("int") for m in MEASURES]
+        ).alias("bins"),
     )
-    bins = (
-        long.select(
-            "stratum", "good", "v.measure", F.ceil(F.col("v.x") * steps).cast("int").alias("bin")
-        )
+    rows = cut(rows)
+    learnt = rows.filter(~F.col("tested"))
+    # step s rejects values above s / steps, that is bins above s; bins are a fixed number
+    counted = (
+        learnt.select("stratum", "good", F.posexplode("bins").alias("measure", "bin"))
         .groupBy("stratum", "measure", "bin")
         .agg(
             F.sum(F.col("good").cast("long")).alias("good"),
             F.sum((~F.col("good")).cast("long")).alias("bad"),
         )
-    )
-    # step s rejects values above s / steps, that is bins above s; bins are a fixed number
-    tried = bins.groupBy("stratum", "measure").agg(
-        F.collect_list(F.struct("bin", "good", "bad")).alias("bins"),
-        F.sum("good").alias("n_good"),
-    )
-    tests = tried.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
+        .groupBy("stratum", "measure")
+        .agg(F.collect_list(F.struct("bin", "good", "bad")).alias("counts"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     )
     above = lambda name: F.aggregate(
-        "bins",
+        "counts",
         F.lit(0).cast("long"),
         lambda acc, b: acc + F.when(b["bin"] > F.col("step"), b[name]).otherwise(0),
     )
-    counted = tests.withColumn("n_rejected", above("good")).withColumn("n_bad", above("bad"))
+    # of neighbouring steps with the same counts the middle one: between good and bad rows
+    tried = (
+        counted.select("stratum", "measure", "step", above("good").alias("good"), above("bad").alias("bad"))
+        .filter("bad > 0")
+        .groupBy("stratum", "measure", "good", "bad")
+        .agg(F.floor((F.min("step") + F.max("step")) / 2).cast("int").alias("step"))
+        .groupBy("stratum")
+        .agg(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("good", (-F.col("bad")).alias("bad"), "measure", "step"))),
+                lambda x: F.struct(x["measure"].alias("measure"), x["step"].alias("step")),
+            ).alias("order")
+        )
+    )
+    # the place of the first cutoff that rejects a row; 0 if none does
+    first = F.array_position(
+        F.transform("order", lambda c: F.get("bins", c["measure"]) > c["step"]), True
+    ).cast("int")
+    useful = (
+        learnt.filter(~F.col("good"))
+        .join(tried, "stratum")
+        .select("stratum", "order", first.alias("at"))
+        .filter("at > 0")
+        .groupBy("stratum")
+        .agg(F.first("order").alias("order"), F.sort_array(F.collect_set("at")).alias("used"))
+        .select("stratum", F.transform("used", lambda i: F.get("order", i - 1)).alias("order"))
+    )
+    tests = (
+        rows.filter(F.col("tested") & F.col("good"))
+        .join(useful, "stratum")
+        .select("stratum", "order", first.alias("at"))
+        .groupBy("stratum", "at")
+        .agg(F.first("order").alias("order"), F.count(F.lit(1)).alias("n"))
+        .groupBy("stratum")
+        .agg(
+            F.first("order").alias("order"),
+            F.collect_list(F.struct("at", "n")).alias("counts"),
+            F.sum("n").alias("n_good"),
+        )
+        .select("*", F.explode(F.sequence(F.lit(1), F.size("order"))).alias("length"))
+        .withColumn(
+            "n_rejected",
+            F.aggregate(
+                "counts",
+                F.lit(0).cast("long"),
+                lambda acc, c: acc + F.when(c["at"].between(1, F.col("length")), c["n"]).otherwise(0),
+            ),
+        )
+    )
     n_strata = labelled.select(F.countDistinct(stratum)).first()[0]
-    level = math.log(risk.chance / (max(n_strata, 1) * len(MEASURES) * steps))
+    level = math.log(risk.chance / max(n_strata, 1))
     few = F.col("n_rejected") <= F.col("n_good") * risk.share
     safe = few & (
         binomial_tail(F.when(few, F.col("n_rejected")).otherwise(0), F.col("n_good"), risk.share)
         <= level
     )
+    # rejections only grow along the order, so the rules that hold are the first ones
     return (
-        counted.filter((F.col("n_bad") > 0) & (F.col("n_good") > 0))
-        .filter(safe)
-        .groupBy("stratum", "measure")
-        .agg(F.min_by(F.struct("step", "n_good", "n_rejected"), "step").alias("best"))
+        tests.filter(safe)
+        .groupBy("stratum")
+        .agg(F.max_by(F.struct("order", "length", "n_good", "n_rejected"), "length").alias("best"))
         .select(
             "stratum",
-            "measure",
-            (F.col("best.step") / steps).alias("cutoff"),
+            F.explode(F.slice("best.order", F.lit(1), F.col("best.length"))).alias("taken"),
             "best.n_good",
             "best.n_rejected",
         )
+        .groupBy("stratum", "taken.measure")
+        .agg(
+            (F.min("taken.step") / steps).alias("cutoff"),
+            F.first("n_good").alias("n_good"),
+            F.first("n_rejected").alias("n_rejected"),
+        )
+        .withColumn("measure", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1))
     )
 
 
@@ -238,8 +291,8 @@ def judge(
     """Counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     A document is kept if it passes the base rule and no measure exceeds its stratum's cutoff. The
-    joint risk of a stratum's measures is held by giving each an equal part of it. Strata that
-    labels say too little about have no cutoffs, so nothing but the base rule rejects there.
+    risk is that of all cutoffs of a stratum together. Strata that labels say too little about have
+    no cutoffs, so nothing but the base rule rejects there.
     A NULL stratum is one of its own; a NULL or empty text fails the base rule. With no
     labels only the base rule holds. Repeated labels of an id count once, as bad if any is.
     """
@@ -255,9 +308,8 @@ def judge(
         .agg(F.min("quality").alias("quality"))
     )
     passing = table.filter(~base_failed())
-    each = Risk(risk.share / len(MEASURES), risk.chance, risk.steps)
     limits = (
-        cutoffs(passing.join(known, "doc_id"), "_stratum", each)
+        cutoffs(passing.join(known, "doc_id"), "_stratum", risk)
         .groupBy(F.col("stratum").alias("_stratum"))
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cutoff"))).alias("_cutoffs"))
     )

@@ -4,6 +4,7 @@ import re
 import textwrap
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,34 @@ def test_cutoffs_hold_their_risk(spark):
     assert all(got[i] for i, _, _ in few), "a stratum with few labels rejects nothing"
 
 
+def test_small_strata_get_cutoffs(spark):
+    rows = []
+    for n, lang in enumerate(("en", "fr", "de", "es")):
+        for k in range(330):
+            words = " ".join(f"w{lang}{k}x{j}" for j in range(20))
+            bad = k % 11 == 0
+            rows.append((1000 * n + k, words + (" " + "#" * 200 if bad else ""), lang, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r["doc_id"]: r["kept"] for r in collected(quality.judge(docs.drop("quality"), docs.select("doc_id", "quality")))}
+    assert all(got[i] == bool(good) for i, _, _, good in rows)
+
+
+def test_joint_rule_keeps_to_its_share(spark):
+    # every measure alone rejects 3 % of the good rows, together they would reject 12 %
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4000):
+        good = k % 4 > 0
+        values = [0.0] * len(quality.MEASURES)
+        for m in range(4):
+            values[m] = float(rng.random() < (0.03 if good else 0.4))
+        rows.append((k, "xx", int(good), *values))
+    names = ", ".join(f"{m} double" for m in quality.MEASURES)
+    df = spark.createDataFrame(rows, f"doc_id long, lang string, quality int, {names}")
+    got = collected(quality.cutoffs(df, "lang"))
+    assert len(got) == 1 and 0 < got[0]["n_rejected"] <= 0.05 * got[0]["n_good"]
+
+
 def test_judge_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
     got = collected(quality.judge(odd, labels))
