@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import text_or_empty
+from billspark.llm.common import BLANKS, text_or_empty
 
 #: Fixed patterns, with the characters that the match, or its second group, needs.
 ASSIGN = re.compile(
@@ -23,13 +23,24 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that end right before a string and make it sensitive.
-CONTEXT = re.compile(
+_SENSITIVE = (
     r"""(?:key|keys|secret|secrets|token|tokens|pass|passwd|password|passphrase|pwd|auth"""
     r"""|authorization|bearer|basic|credential|credentials|cred|creds|private|access|session"""
-    r"""|cookie|signature|sig|salt|seed|webhook|connection|jwt)[\w"'\])}]*[\s:=>"'(\[{,-]*$""",
+    r"""|cookie|signature|sig|salt|seed|webhook|connection|jwt)"""
+)
+#: Words that end right before a string and make it sensitive; between a name and its value the name
+#: of a type may stand.
+CONTEXT = re.compile(
+    _SENSITIVE + r"""[\w"'\])}]*"""
+    r"""(?:[\s:=>|"'(\[{,-]*|\s*:\s*[\w.&*<>\[\], |?]{1,40}=[\s"'(\[{]*)$""",
     re.IGNORECASE | re.ASCII,
 )
+#: What may stand between two lines of one block, beside a line break: quotes and marks of joining or comment.
+LINE_MARKS = BLANKS + "\"'`,;+|()#*>/\\"
+#: Headings between which all strings are sensitive; one without an end runs to the text's end and is left out.
+BLOCK = re.compile(
+    r"-----?\x20?BEGIN [A-Z0-9 ]{0,64}?(?:KEY|SECRET|TOKEN)[A-Z0-9 ]{0,64}-----?(.*?)(?:-----?\x20?END |\Z)", re.DOTALL
+)
 #: Strings that may be secrets: long enough, of the letters that keys are written in.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 
@@ -72,6 +83,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def next_line(text: str, end: int, start: int) -> bool:
+    """Whether a string stands on the line after another, in plain text or in a quoted one."""
+    gap = text[end:start]
+    if gap == "\\":
+        return text[start] in "nr"
+    if "\\" in gap:
+        gap = gap.replace("\\r", "").replace("\\n", "\n")
+    return "\n" in gap and not gap.strip(LINE_MARKS)
+
+
 class NovelStrings:
     """Marginal compressed size of candidates, measured against identifiers and nearby text."""
 
@@ -97,9 +118,21 @@ class NovelStrings:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = []
+        blocks = []
+        if "BEGIN " in text:
+            blocks = [m.span(1) for m in BLOCK.finditer(text) if m.end(1) < len(text)]
+        at, carried = 0, -1  # the block that may hold the next string; where a sensitive line ended
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             string = m.group()
+            while at < len(blocks) and blocks[at][1] <= start:
+                at += 1
+            sensitive = (
+                (at < len(blocks) and blocks[at][0] <= start)
+                or (carried >= 0 and next_line(text, carried, start))
+                or CONTEXT.search(text[max(0, start - self.settings.before) : start]) is not None
+            )
+            carried = end if sensitive else -1
             kinds = (
                 any(c.isdigit() for c in string)
                 + any(c.isupper() for c in string)
@@ -107,7 +140,7 @@ class NovelStrings:
             )
             if kinds < 2 or len(set(string)) < 8:
                 continue
-            if not CONTEXT.search(text[max(0, start - self.settings.before) : start]):
+            if not sensitive:
                 continue
             # a very long string is measured in parts, and reported whole if any part is novel
             step = self.settings.longest
