@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billspark.llm.bestfit import pack_best_fit, whole_pieces
 from billspark.llm.common import KEY, NO_ID, documents, remainder, row_key
 from billspark.llm.decontam import contaminated, phrase_hits
 from billspark.llm.licenses import license_sql, scan_licenses
@@ -152,3 +153,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped",
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@register("op11_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(whole_pieces(documents(spark, sf_dir), vocabulary()))
