@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billspark.llm.alignment import align_documents
 from billspark.llm.bestfit import pack_best_fit, whole_pieces
 from billspark.llm.common import KEY, NO_ID, documents, remainder, row_key
 from billspark.llm.decontam import contaminated, phrase_hits
+from billspark.llm.divergence import audit_sources, audit_sql
 from billspark.llm.licenses import license_sql, scan_licenses
 from billspark.llm.lines import drop_repeated_lines
 from billspark.llm.neardup import classes
@@ -158,3 +160,15 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(whole_pieces(documents(spark, sf_dir), vocabulary()))
+
+
+@register("op12_source_divergence", audit_sql())
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(documents(spark, sf_dir))
+
+
+@register("op13_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(
+        documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
