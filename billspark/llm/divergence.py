@@ -128,7 +128,7 @@ def count_terms(raw: np.ndarray, ends: np.ndarray, group: np.ndarray) -> Iterato
             words.append(word_at[a + 8].astype(np.uint64) & _FIRST[k - 8])
         g = group[d]
         first, words, n, docs = _runs([g.astype(np.uint64), *words], d, np.ones(len(a), np.int64))
-        packed = np.stack([w[first].astype(">u8") for w in words[1:]], axis=1)
+        packed = np.stack([w[first] for w in words[1:]], axis=1).astype(">u8")
         yield words[0][first].astype(np.int64), packed.view(f"S{most}").ravel().tolist(), n, docs
 
     least = 17
