@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from billspark import rules
 from billspark.functions.scalar import parse_bill_date
 from billspark.operators.accounts import (
+    account_matches,
     changed_only,
     latest_bill,
-    latest_matches,
     match_accounts,
     recent_messages,
-    unmatched_accounts,
 )
 from billspark.operators.confidence import EMPTY_MAP, with_fields
 from billspark.operators.derive import changed_fields, recompute
@@ -137,14 +136,9 @@ ACCOUNTS = """a AS (SELECT c_custkey AS account_id, CAST(c_custkey % 10 AS VARCH
       FROM a LEFT JOIN l USING (account_id) GROUP BY 1""",
 )
 def match_strategy_counts(spark: SparkSession, folder: str) -> DataFrame:
-    accounts = _accounts(spark, folder)
-    best = latest_matches(_mail(spark, folder), accounts)
-    matched = best.select("account_id", "strategy", "msg_seq")
-    missing = unmatched_accounts(accounts, best).select(
-        "account_id", F.lit("none").alias("strategy"), F.lit(0).cast("bigint").alias("msg_seq")
-    )
-    return matched.unionByName(missing).groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("accounts"), F.sum("msg_seq").alias("newest")
+    best = account_matches(_mail(spark, folder), _accounts(spark, folder))
+    return best.groupBy(F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(
+        F.count(F.lit(1)).alias("accounts"), F.sum(F.coalesce("msg_seq", F.lit(0))).alias("newest")
     )
 
 
