@@ -176,7 +176,7 @@ def _one_text(raw: np.ndarray, slice_bytes: int) -> Iterator[tuple]:
     yield np.zeros(len(total), np.int64), list(total), list(total.values()), np.ones(len(total), np.int64)
 
 
-def term_counts(docs: DataFrame, batch_bytes: int = 2**24) -> DataFrame:
+def term_counts(docs: DataFrame, batch_bytes: int = 2**23) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents of each term in each group, in parts.
 
     Texts are taken together up to ``batch_bytes`` and counted at once, whole texts always; a group and
