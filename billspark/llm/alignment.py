@@ -4,10 +4,11 @@ A text is read by a byte-level vocabulary (A) and a piece vocabulary (B). Where
 same byte, a group ends; within a group every token of A is linked with every token of B. An id pair
 is counted by the documents that have it linked.
 
-The distinct pairs of the corpus get numbers without gaps from a minimal perfect hash, built segment by
-segment in tasks. Counts of the parts of the corpus are dense vectors over these numbers, added up in
-a tree. A second pass aligns the documents again and reads the counts at the pairs' numbers, after
-comparing the pair that the number was given to.
+The first pass reads the texts and writes their tokens, aligns them, and counts pairs. The distinct pairs
+of the corpus get numbers without gaps from a minimal perfect hash, built segment by segment in tasks.
+Counts of the parts of the corpus are dense vectors over these numbers, added up in a tree. A second
+pass aligns the documents again, from their tokens, and reads the counts at the pairs' numbers,
+after comparing the pair that the number was given to.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from billspark.llm.packing import _byte_letter
 REMEMBERED = 250_000
 #: Longer chunks are worked out each time.
 LONGEST = 64
+#: Tokens that are aligned at once, about; longer texts are aligned in slices.
+TOGETHER = 2**18
 #: Pairs of a segment of the hash, about.
 SEGMENT = 8192
 #: Pairs of a bucket within a segment, about.
@@ -50,13 +54,9 @@ _PLAIN = re.compile(rf"[ \n]{_LETTERS}+")
 _JOINED = re.compile(rf"[^ ] |.\n|\n.|{_LETTERS}[.,;:!?)]", re.S)
 
 
-# ------------------------------------------------------------------------------ aligning
-class Aligner:
-    """Alignments of one vocabulary with another, chunk by chunk.
-
-    An alignment is ``(tokens of A, tokens of B, groups, links, the groups as text, pair codes)``, or
-    None if the tokens do not spell the chunk.
-    """
+# ------------------------------------------------------------------------------ tokens
+class Vocabularies:
+    """Two vocabularies that read the same texts, chunk by chunk."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
         import sentencepiece
@@ -70,21 +70,19 @@ class Aligner:
         line_feed = [tokenizer.token_to_id(letter[10])]
         merged = tokenizer.model.tokenize
 
-        def encode_a(chunk: str) -> list[int]:
-            if not _PLAIN.fullmatch(chunk):
-                return tokenizer.encode(chunk, add_special_tokens=False).ids
-            # one word: only its merges are asked for; a line feed before it is a token of its own
-            word = chunk if chunk[0] == " " else chunk[1:]
-            ids = [t.id for t in merged(word.encode().decode("latin-1").translate(letter))]
-            return ids if chunk[0] == " " else line_feed + ids
+        def one_word(chunk: str) -> list[int]:
+            # only its merges are asked for; a line feed before it is a token of its own
+            if chunk[0] == " ":
+                return [t.id for t in merged(chunk.encode().decode("latin-1").translate(letter))]
+            return line_feed + [t.id for t in merged(chunk[1:].encode().decode("latin-1").translate(letter))]
 
-        self.encode_a = encode_a
+        self.one_word = one_word
+        self.encode_a = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
         byte_of = {x: b for b, x in enumerate(letter)}
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         self.bytes_a = [b""] * tokenizer.get_vocab_size()
         for token, i in tokenizer.get_vocab().items():
             self.bytes_a[i] = token.encode() if token in special else bytes(byte_of[c] for c in token)
-        self.sizes_a = [len(x) for x in self.bytes_a]
         pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.encode_b = lambda texts: pieces.encode(texts, num_threads=1)
         self.width = pieces.get_piece_size()
@@ -93,7 +91,12 @@ class Aligner:
         self.bytes_b = [
             bytes([int(x[3:5], 16)]) if single else x.encode() for x, single in zip(spelled, is_byte)
         ]
-        self.sizes_b = [len(x) for x in self.bytes_b]
+        self.sizes_a, self.sizes_b = (
+            np.array([len(x) for x in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b)
+        )
+        # how a token is written in the list of groups: before another of its side, and as the last
+        self.written_a = [x for i in range(len(self.bytes_a)) for x in (f"{i},", f"{i}|")]
+        self.written_b = [x for i in range(self.width) for x in (f"{i},", f"{i};")]
         # what is put before a chunk that does not start with a blank, so that none is added to it
         self.before = self.encode_b(["\n"])[0]
         # chunks may be read alone only if no piece joins what they are cut between
@@ -106,23 +109,25 @@ class Aligner:
         whole = " " + text
         return _CHUNK.findall(whole) if self.cuttable else [whole]
 
-    def aligned(self, chunks: list[str], spell: bool = True) -> list[tuple | None]:
-        """Alignments of chunks; without ``spell`` only the distinct pair codes of each."""
-        out: list[tuple | None] = []
+    def tokens(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and of B of each chunk, as 32-bit integers; None if they do not spell it."""
+        out: list[tuple[bytes, bytes] | None] = []
         read = self.encode_b([c[1:] if c[0] == " " else "\n" + c for c in chunks])
         for chunk, b in zip(chunks, read):
-            a = self.encode_a(chunk)
             if chunk[0] != " ":
                 b = b[2:] if b[:2] == self.before else []
-            spelled = chunk.encode()
-            if (
-                b"".join([self.bytes_a[i] for i in a]) != spelled
-                or b"".join([self.bytes_b[i] for i in b]) != spelled
-            ):
-                out.append(None)
+            if _PLAIN.fullmatch(chunk):
+                a = self.one_word(chunk)  # both vocabularies spell all letters, by bytes if need be
             else:
-                found = align(a, [self.sizes_a[i] for i in a], b, [self.sizes_b[i] for i in b], self.width, spell)
-                out.append(found if spell else tuple(set(found[5])))
+                a = self.encode_a(chunk)
+                spelled = chunk.encode()
+                if (
+                    b"".join([self.bytes_a[i] for i in a]) != spelled
+                    or b"".join([self.bytes_b[i] for i in b]) != spelled
+                ):
+                    out.append(None)
+                    continue
+            out.append((array("I", a).tobytes(), array("I", b).tobytes()))
         return out
 
 
@@ -158,38 +163,166 @@ class Remembered:
         return found
 
 
-def align(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int], width: int, spell: bool = True) -> tuple:
-    """Numbers of tokens, groups and links, the groups as text, and ``id of A * width + id of B`` of each link."""
+def align(
+    a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int], width: int, spell: bool = True
+) -> tuple:
+    """Numbers of tokens, groups and links, the groups as text, and ``id of A * width + id of B`` of each link.
+
+    ``sizes_a`` and ``sizes_b`` are the bytes of every id; both lists of ids spell the same bytes.
+    """
     groups: list[str] = []
     codes: list[int] = []
-    i = j = 0
+    i = j = count = 0
     n, m = len(a), len(b)
     while i < n:
         first, other = i, j
-        left, right = a_sizes[i], b_sizes[j]
-        i, j = i + 1, j + 1
-        while left != right:
-            if left < right:
-                left += a_sizes[i]
+        x, y = a[i], b[j]
+        ahead = sizes_a[x] - sizes_b[y]
+        i, j, count = i + 1, j + 1, count + 1
+        if not ahead:
+            codes.append(x * width + y)
+            if spell:
+                groups.append(f"{x}|{y}")
+            continue
+        while ahead:
+            if ahead < 0:
+                ahead += sizes_a[a[i]]
                 i += 1
             else:
-                right += b_sizes[j]
+                ahead -= sizes_b[b[j]]
                 j += 1
-        if i == first + 1 and j == other + 1:
-            if spell:
-                groups.append(f"{a[first]}|{b[other]}")
-            codes.append(a[first] * width + b[other])
-        else:
-            ours, theirs = a[first:i], b[other:j]
-            if spell:
-                groups.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
-            codes.extend([x * width + y for x in ours for y in theirs])
-    return n, m, len(groups), len(codes), ";".join(groups), codes
+        ours, theirs = a[first:i], b[other:j]
+        codes += [x * width + y for x in ours for y in theirs]
+        if spell:
+            groups.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
+    return n, m, count, len(codes), ";".join(groups), codes
+
+
+def vocabularies(bytes_path: str, pieces_path: str) -> Vocabularies:
+    """The vocabularies of a worker, made once."""
+    return worker_memo(f"vocabularies {bytes_path} {pieces_path}", lambda: Vocabularies(bytes_path, pieces_path))
+
+
+def document_tokens(texts: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
+    """``doc_id, a, b``: ids of both vocabularies as packed 32-bit integers; none where they do not spell the text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = vocabularies(bytes_path, pieces_path)
+        memory = worker_memo(f"chunks {bytes_path} {pieces_path}", lambda: Remembered(both.tokens))
+        for batch in batches:
+            ids, ours, theirs, size = [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                chunks = both.chunks(text) if text else []
+                found = memory.of(set(chunks))
+                spelled = None not in found.values()
+                parts = [found[c] for c in chunks] if spelled else []
+                ids.append(doc)
+                ours.append(b"".join([p[0] for p in parts]))
+                theirs.append(b"".join([p[1] for p in parts]))
+                size += len(ours[-1]) + len(theirs[-1])
+                if size > 2**24:
+                    yield _token_rows(ids, ours, theirs)
+                    ids, ours, theirs, size = [], [], [], 0
+            if ids:
+                yield _token_rows(ids, ours, theirs)
+
+    return texts.select("doc_id", "text").mapInArrow(read, "doc_id long, a binary, b binary")
+
+
+def _token_rows(ids: list, ours: list[bytes], theirs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(ours, pa.binary()), pa.array(theirs, pa.binary())], ["doc_id", "a", "b"]
+    )
+
 
+# ------------------------------------------------------------------------------ aligning
+class Aligned:
+    """Groups and links of several stretches of tokens, worked out together.
+
+    A stretch starts and ends at a common border, so borders are looked for in all of them
+    at once. ``groups`` and ``links`` say where each stretch's groups and links begin and end.
+    """
+
+    def __init__(self, both: Vocabularies, stretches: list[tuple[np.ndarray, np.ndarray]]):
+        self.both = both
+        self.a = a = np.concatenate([x for x, _ in stretches]).astype(np.int64)
+        self.b = b = np.concatenate([y for _, y in stretches]).astype(np.int64)
+        ends_a, ends_b = np.cumsum(both.sizes_a[a]), np.cumsum(both.sizes_b[b])
+        at = np.searchsorted(ends_b, ends_a)
+        common = np.flatnonzero(ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a) if len(ends_b) else np.zeros(0, np.int64)
+        self.stop_a, self.stop_b = common + 1, at[common] + 1
+        self.start_a, self.start_b = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (self.stop_a, self.stop_b))
+        self.n_a, self.n_b = self.stop_a - self.start_a, self.stop_b - self.start_b
+        self.tokens_a, self.tokens_b = (
+            np.concatenate([[0], np.cumsum([len(s[k]) for s in stretches])]) for k in (0, 1)
+        )
+        self.groups = np.searchsorted(self.stop_a, self.tokens_a, side="right")
+        self.links = np.concatenate([[0], np.cumsum(self.n_a * self.n_b)])[self.groups]
+
+    def codes(self) -> np.ndarray:
+        """``id of A * width + id of B`` of every link."""
+        group = np.repeat(np.arange(len(self.n_a)), self.n_a)
+        times = self.n_b[group]
+        first = np.cumsum(times) - times
+        other = np.arange(int(times.sum())) - np.repeat(first - self.start_b[group], times)
+        return np.repeat(self.a, times) * self.both.width + self.b[other]
+
+    def texts(self) -> list[str]:
+        """The groups of each stretch, written out."""
+        a, b = self.a, self.b
+        group_a = np.repeat(np.arange(len(self.n_a)), self.n_a)
+        group_b = np.repeat(np.arange(len(self.n_b)), self.n_b)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[self.stop_a - 1] = 1
+        last_b[self.stop_b - 1] = 1
+        keys = np.zeros(len(a) + len(b), np.int64)
+        keys[np.arange(len(a)) + self.start_b[group_a]] = 2 * a + last_a
+        keys[np.arange(len(b)) + self.stop_a[group_b]] = 2 * b + last_b + len(self.both.written_a)
+        written = worker_memo(f"written {id(self.both)}", lambda: [*self.both.written_a, *self.both.written_b])
+        borders = (self.tokens_a + self.tokens_b).tolist()
+        keys = keys.tolist()
+        return [
+            "".join([written[k] for k in keys[low:high]])[:-1] for low, high in zip(borders, borders[1:])
+        ]
 
-def aligner(bytes_path: str, pieces_path: str) -> Aligner:
-    """The aligner of a worker, made once."""
-    return worker_memo(f"aligner {bytes_path} {pieces_path}", lambda: Aligner(bytes_path, pieces_path))
+
+def stretches_of(both: Vocabularies, a: np.ndarray, b: np.ndarray, most: int = TOGETHER):
+    """A text's tokens in slices of about ``most`` of A, cut at common borders; usually one."""
+    if len(a) <= most:
+        yield a, b
+        return
+    ends_a, ends_b = np.cumsum(both.sizes_a[a]), np.cumsum(both.sizes_b[b])
+    i = j = 0
+    while i < len(a):
+        reach = most
+        while True:
+            stop = min(len(a), i + reach)
+            window = ends_a[i:stop]
+            at = np.searchsorted(ends_b, window)
+            common = np.flatnonzero(ends_b[np.minimum(at, len(b) - 1)] == window)
+            if len(common):
+                break
+            reach *= 2  # one group as long as the slice
+        k, m = i + int(common[-1]) + 1, int(at[common[-1]]) + 1
+        yield a[i:k], b[j:m]
+        i, j = k, m
+
+
+def _together(both: Vocabularies, batch: pa.RecordBatch, most: int = TOGETHER):
+    """``(row numbers, Aligned)`` of about ``most`` tokens at a time; a row's slices come in order."""
+    rows, held, size = [], [], 0
+    for row, (ours, theirs) in enumerate(zip(batch.column("a"), batch.column("b"))):
+        a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (ours, theirs))
+        for stretch in stretches_of(both, a, b, most):
+            rows.append(row)
+            held.append(stretch)
+            size += len(stretch[0])
+            if size >= most:
+                yield rows, Aligned(both, held)
+                rows, held, size = [], [], 0
+    if rows:
+        yield rows, Aligned(both, held)
 
 
 def lately_made(kind: str, name: str, make: Callable):
@@ -201,18 +334,14 @@ def lately_made(kind: str, name: str, make: Callable):
     return place[name]
 
 
-def document_pairs(texts: DataFrame, bytes_path: str, pieces_path: str, at_once: int = 1_000_000) -> DataFrame:
+def document_pairs(tokens: DataFrame, bytes_path: str, pieces_path: str, at_once: int = 1_000_000) -> DataFrame:
     """``code, n``: pairs and the documents that have them linked, summed over stretches of a task.
 
     A task holds at most about ``at_once`` distinct pairs (and those of one document) before it gives them on.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(bytes_path, pieces_path)
-        memory = lately_made(
-            "chunks", f"pairs {bytes_path} {pieces_path}",
-            lambda: Remembered(lambda chunks: known.aligned(chunks, spell=False)),
-        )
+        both = vocabularies(bytes_path, pieces_path)
         held: dict[int, int] = {}
 
         def given() -> pa.RecordBatch:
@@ -222,24 +351,42 @@ def document_pairs(texts: DataFrame, bytes_path: str, pieces_path: str, at_once:
             held.clear()
             return out
 
+        def add(codes: np.ndarray) -> None:
+            for code, n in zip(*(x.tolist() for x in np.unique(codes, return_counts=True))):
+                held[code] = held.get(code, 0) + n
+
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if not text:
-                    continue
-                found = memory.of(set(known.chunks(text))).values()
-                if None in found:
-                    continue
-                pairs: set[int] = set()
-                pairs.update(*found)
-                for code in pairs:
-                    held[code] = held.get(code, 0) + 1
+            long_row, pairs = -1, np.zeros(0, np.int64)  # a row that has come in slices, and its pairs so far
+            for rows, aligned in _together(both, batch):
+                codes = aligned.codes()
+                row = np.repeat(rows, np.diff(aligned.links))
+                order = np.lexsort((codes, row))
+                row, codes = row[order], codes[order]
+                new = np.ones(len(codes), bool)
+                new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+                row, codes = row[new], codes[new]
+                if long_row != -1 and (not len(row) or row[0] != long_row):
+                    add(pairs)
+                elif long_row != -1:
+                    mine = row == long_row
+                    pairs = np.union1d(pairs, codes[mine])
+                    row, codes = row[~mine], codes[~mine]
+                    if len(row) or rows[-1] != long_row:
+                        add(pairs)
+                    else:
+                        continue
+                # the last row may go on in the next slices
+                long_row = rows[-1]
+                pairs = codes[row == long_row]
+                add(codes[row != long_row])
                 if len(held) > at_once:
                     yield given()
+            if long_row != -1:
+                add(pairs)
         if held:
             yield given()
 
-    return texts.mapInArrow(count, "code long, n long")
+    return tokens.select("a", "b").mapInArrow(count, "code long, n long")
 
 
 # ------------------------------------------------------------------ minimal perfect hash
@@ -460,57 +607,43 @@ RESULT_NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
 def _looked_up(bytes_path: str, pieces_path: str, table, best, share: int):
-    """A function from texts to their results with the counts of one share of the pairs.
+    """A function from tokens to results with the counts of one share of the pairs.
 
     ``table`` and ``best`` are broadcast: the segments of the share, and the highest count of each id of A.
     """
     name = uuid.uuid4().hex
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(bytes_path, pieces_path)
+        both = vocabularies(bytes_path, pieces_path)
         pairs = lately_made("pairs", name, lambda: PairTable(*table.value))
         highest = np.frombuffer(best.value, np.int64)
-
-        def counted(chunks: list[str]) -> list[tuple | None]:
-            """Alignments with the counts of their links instead of the pairs."""
-            found = known.aligned(chunks)
-            codes = np.array([c for f in found if f for c in f[5]], np.int64)
-            counts = pairs.look_up(codes)
-            top = (counts > 0) & (counts == highest[codes // known.width])
-            sums, tops = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(top))
-            at, out = 0, []
-            for f in found:
-                if f is None:
-                    out.append(None)
-                    continue
-                to = at + f[3]
-                out.append((*f[:4], int(tops[to] - tops[at]), int(sums[to] - sums[at]), f[4]))
-                at = to
-            return out
-
-        memory = lately_made("chunks", name, lambda: Remembered(counted))
-        nothing = (0, 0, 0, 0, 0, 0, "")
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                chunks = known.chunks(text) if text else []
-                found = memory.of(set(chunks))
-                if not chunks or None in found.values():
-                    rows.append(nothing)
-                    continue
-                parts = [found[c] for c in chunks]
-                *numbers, groups = zip(*parts)
-                digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-                rows.append((*map(sum, numbers), digest))
-            columns = list(zip(*rows)) if rows else [[]] * len(RESULT_NAMES)
-            made = [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.string())]
+            n = batch.num_rows
+            numbers = np.zeros((6, n), np.int64)
+            digests: list = [None] * n
+            for rows, aligned in _together(both, batch):
+                codes = aligned.codes()
+                counts = pairs.look_up(codes)
+                top = (counts > 0) & (counts == highest[codes // both.width])
+                tops, sums = (np.concatenate([[0], np.cumsum(x)])[aligned.links] for x in (top, counts))
+                measured = (aligned.tokens_a, aligned.tokens_b, aligned.groups, aligned.links, tops, sums)
+                np.add.at(numbers, (slice(None), rows), np.stack([np.diff(x) for x in measured]))
+                for row, text in zip(rows, aligned.texts() if not share else ()):
+                    if text:
+                        if digests[row] is None:
+                            digests[row] = hashlib.sha256()
+                        else:
+                            digests[row].update(b";")
+                        digests[row].update(text.encode())
+            made = [pa.array(x) for x in numbers]
             if share:
                 # counts of the earlier shares; the other columns are the same each time
-                for k in (4, 5):
-                    made[k] = pc.add(made[k], batch.column(RESULT_NAMES[k]))
-            kept = [n for n in batch.schema.names if n not in RESULT_NAMES]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *made], [*kept, *RESULT_NAMES])
+                made = [batch.column(c) for c in RESULT_NAMES[:4]] + [
+                    pc.add(made[k], batch.column(RESULT_NAMES[k])) for k in (4, 5)
+                ]
+            hashes = batch.column(RESULT_NAMES[6]) if share else pa.array([d.hexdigest() if d else "" for d in digests], pa.string())
+            first = [batch.column(c) for c in ("doc_id", "a", "b")]
+            yield pa.RecordBatch.from_arrays([*first, *made, hashes], ["doc_id", "a", "b", *RESULT_NAMES])
 
     return results
 
@@ -533,37 +666,34 @@ def align_documents(
     columns are not looked at.
 
     At most ``max_pairs`` distinct pairs (24 bytes each) are sent to tasks at a time. With more, the
-    second pass goes over the documents once for each such share of the pairs and adds up, so results do
-    not depend on the limit. Texts of any length are aligned whole; chunks between single blanks
-    are aligned once in a worker and remembered.
+    second pass goes over the tokens once for each such share of the pairs and adds up, so results do
+    not depend on the limit. Texts of any length are read whole; chunks between single blanks
+    are read once in a worker and remembered, and tokens are aligned in bounded slices.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    tokens = written(document_tokens(texts, bytes_path, pieces_path), "tokens")
     node = F.spark_partition_id().cast("long").alias("node")
-    partial = written(
-        document_pairs(texts.select("text"), bytes_path, pieces_path).select("code", "n", node), "pairs"
-    )
+    partial = written(document_pairs(tokens, bytes_path, pieces_path).select("code", "n", node), "pairs")
     distinct, nodes = partial.agg(
         F.approx_count_distinct("code"), F.coalesce(F.max("node"), F.lit(0)) + 1
     ).first()
     segments = max(1, -(-distinct // segment))
     table = written(pair_counts(partial, segments, nodes), "pair-counts")
 
-    known = aligner(bytes_path, pieces_path)
-    highest = _best_counts(table, known.width, len(known.bytes_a))
-    best = spark.sparkContext.broadcast(highest.tobytes())
+    both = vocabularies(bytes_path, pieces_path)
+    best = spark.sparkContext.broadcast(_best_counts(table, both.width, len(both.bytes_a)).tobytes())
     shares = max(1, -(-distinct // max_pairs))
-    sent = []
-    looked_up = texts
+    looked_up = tokens
     for share in range(shares):
         rows = table.filter(F.col("segment") % shares == share).collect() if distinct else []
-        sent.append(spark.sparkContext.broadcast((segments, [tuple(r) for r in rows])))
+        sent = spark.sparkContext.broadcast((segments, [tuple(r) for r in rows]))
         if share:
             looked_up = written(looked_up, f"shares-{share}")
         looked_up = looked_up.mapInArrow(
-            _looked_up(bytes_path, pieces_path, sent[-1], best, share), f"doc_id long, text string, {RESULT}"
+            _looked_up(bytes_path, pieces_path, sent, best, share), f"doc_id long, a binary, b binary, {RESULT}"
         )
-    return looked_up.drop("text")
+    return looked_up.drop("a", "b")
 
 
 def _best_counts(table: DataFrame, width: int, height: int) -> np.ndarray:

@@ -93,18 +93,35 @@ def result(df):
 
 
 def test_chunks_give_what_the_whole_text_gives():
-    known = alignment.Aligner(A, B)
+    known = alignment.Vocabularies(A, B)
     assert known.cuttable
     for text in strange_texts():
         chunks = known.chunks(text)
         assert "".join(chunks) == " " + text
-        found = known.aligned(chunks)
-        groups = grouped(text)
+        found = known.tokens(chunks)
+        a, a_bytes, b, b_bytes = token_bytes(text)
+        whole = (" " + text).encode()
         if None in found:
-            assert not groups
+            assert b"".join(a_bytes) != whole or b"".join(b_bytes) != whole
         else:
-            spelled = ";".join(f[4] for f in found)
-            assert spelled == ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+            assert np.frombuffer(b"".join(f[0] for f in found), np.uint32).tolist() == a
+            assert np.frombuffer(b"".join(f[1] for f in found), np.uint32).tolist() == b
+
+
+def test_slices_are_cut_where_both_end():
+    known = alignment.Vocabularies(A, B)
+    text = " ".join(t for t in strange_texts(400) if grouped(t)) + " " + "x" * 400
+    a, _, b, _ = token_bytes(text)
+    a, b = np.array(a), np.array(b)
+    whole = alignment.Aligned(known, [(a, b)])
+    for most in (1, 7, 100):
+        slices = list(alignment.stretches_of(known, a, b, most))
+        assert len(slices) > 1
+        assert np.concatenate([x for x, _ in slices]).tolist() == a.tolist()
+        assert np.concatenate([y for _, y in slices]).tolist() == b.tolist()
+        cut = alignment.Aligned(known, slices)
+        assert ";".join(cut.texts()) == whole.texts()[0]
+        assert (cut.codes() == whole.codes()).all()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 8300])
@@ -139,7 +156,9 @@ def test_recent_chunks_stay_remembered():
 
 
 @pytest.mark.parametrize("limits", [{}, {"max_pairs": 300, "segment": 50}])
-def test_documents_match_brute_force(spark, limits):
+def test_documents_match_brute_force(spark, limits, monkeypatch):
+    if limits:  # long texts come in slices
+        monkeypatch.setattr(alignment._together, "__defaults__", (40,))
     docs = list(enumerate(strange_texts(120)))
     docs += [(900, None), (901, ""), (None, "no id"), (902, "twice"), (902, "twice"), (903, "word " * 5000)]
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
