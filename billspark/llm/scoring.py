@@ -181,29 +181,74 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class Scorer:
-    """Normalised log10 probabilities.
+def normalisers(model: Model, spark: SparkSession, firsts: int = 16) -> np.ndarray:
+    """Logarithms of the normalisers of all pairs of context classes, one row a first class.
 
-    The normaliser belongs to a pair of context classes. Pairs that were not met before are
-    normalised in batches, by a matrix product over all outcomes.
+    A job over first classes makes them once, by matrix products over all outcomes; the table has a fixed
+    size, whatever the corpus.
     """
+    shipped = model.shipped(spark)
 
-    def __init__(self, model: Model) -> None:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model.received(shipped.value)
+        every = np.arange(m.settings.classes)
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                scores = m.query(np.full(len(every), one), every) @ m.target.T + m.bias
+                top = scores.max(axis=1, keepdims=True)
+                row = (top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([one], pa.int64()), pa.array([row.tobytes()], pa.binary())], ["one", "row"]
+                )
+
+    classes = model.settings.classes
+    table = spark.range(0, classes, 1, -(-classes // firsts)).mapInArrow(rows, "one long, row binary")
+    return np.stack([np.frombuffer(r, np.float32) for _, r in sorted((x.one, bytes(x.row)) for x in table.collect())])
+
+
+class Scorer:
+    """Normalised log10 probabilities, by the table of ``normalisers``."""
+
+    def __init__(self, model: Model, normaliser: np.ndarray) -> None:
         self.model = model
-        self.normaliser = np.full(model.settings.classes**2, np.nan, np.float32)
+        self.normaliser = normaliser
 
     def token_scores(self, numbers: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         m = self.model
-        pair = one * m.settings.classes + two
-        missing = np.unique(pair[np.isnan(self.normaliser[pair])])
-        for at in range(0, len(missing), 2048):
-            some = missing[at : at + 2048]
-            q = m.query(some // m.settings.classes, some % m.settings.classes)
-            scores = q @ m.target.T + m.bias
-            top = scores.max(axis=1, keepdims=True)
-            self.normaliser[some] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
         score = np.einsum("ij,ij->i", m.query(one, two), m.target[numbers]) + m.bias[numbers]
-        return (score - self.normaliser[pair]).astype(np.float64) / np.log(10)
+        return (score - self.normaliser[one, two]).astype(np.float64) / np.log(10)
+
+
+class Lexicon(dict):
+    """One look-up for a token: its row among the remembered ones, or its class as ``-1 - class``.
+
+    Rows lead to the class, the logarithm of the count and the share in the class.
+    """
+
+    def __init__(self, model: Model) -> None:
+        super().__init__(zip(model.known, range(len(model.known))))
+        self.settings = model.settings
+        self.remembered = len(self)
+        counts = np.fromiter(model.known.values(), np.float64, len(model.known))
+        outputs = self.settings.outputs
+        self.classes = np.array(
+            [model.ids[w] if w in model.ids else outputs + _ending(w, self.settings.endings) for w in model.known],
+            np.int64,
+        )
+        self.log_count = np.log10(counts + 0.5)
+        self.share = np.where(self.classes < outputs, 0.0, np.log10(counts - DISCOUNT))
+        # outcomes that the counts do not have, as the end where nothing was learnt
+        self.others = {w: -1 - i for w, i in model.ids.items() if w not in model.known}
+        self.update(self.others)
+
+    def __missing__(self, word: bytes) -> int:
+        found = -1 - (self.settings.outputs + _ending(word, self.settings.endings))
+        if len(self) < self.remembered + 1_000_000:
+            self[word] = found
+        return found
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -342,21 +387,14 @@ def score_documents(
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     model = train(training, counts, settings)
     shipped = model.shipped(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(normalisers(model, docs.sparkSession))
     name = f"scorer {uuid.uuid4().hex}"
     outputs, endings = settings.outputs, settings.endings
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_memo(name, lambda: Scorer(Model.received(shipped.value)))
+        scorer = worker_memo(name, lambda: Scorer(Model.received(shipped.value), table.value))
         m = scorer.model
-        log_count = worker_memo(
-            f"{name} counts", lambda: {w: np.log10(c + 0.5) for w, c in m.known.items()}
-        )
-        share = worker_memo(
-            f"{name} shares",
-            lambda: {
-                w: 0.0 if w in m.ids else np.log10(c - DISCOUNT) for w, c in m.known.items()
-            },
-        )
+        lexicon = worker_memo(f"{name} lexicon", lambda: Lexicon(m))
         log_total = np.zeros(m.settings.classes)
         with np.errstate(divide="ignore"):
             log_total[outputs:] = np.log10(np.maximum(m.ending_total, 1.0))
@@ -365,16 +403,19 @@ def score_documents(
         for batch in batches:
             for i, h, out, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = tokens_of(text)
-                numbers = m.numbers(tokens)
+                at = lexicon.rows(tokens)
+                held = at >= 0
+                met = at[held]
+                numbers = -1 - at
+                numbers[held] = lexicon.classes[met]
                 by_model = scorer.token_scores(numbers, *m.contexts(numbers)) - log_total[numbers]
-                found = [log_count[w] for w in tokens if w in log_count]
-                within = sum([share[w] for w in tokens if w in share])
+                base, within = float(lexicon.log_count[met].sum()), float(lexicon.share[met].sum())
                 # No word has a blank, so this one meets nothing in the join below.
                 own = b" %d %d" % (i, h)
                 rows.append(
-                    (i, h, out, own, 1, len(tokens), len(found), sum(found), float(by_model.sum()) + within)
+                    (i, h, out, own, 1, len(tokens), len(met), base, float(by_model.sum()) + within)
                 )
-                rest = Counter([w for w in tokens if w not in log_count])
+                rest = Counter([tokens[j] for j in np.flatnonzero(~held).tolist()])
                 rows.extend((i, h, out, w, k, 0, 0, 0.0, 0.0) for w, k in rest.items())
                 size += len(tokens)
                 if size > 500_000:

@@ -39,7 +39,7 @@ def test_model_learns_and_is_normalised(spark):
     settings = scoring.Settings(outputs=20, endings=4, remembered=100, width=8, noise=16, batch=256)
     counts = scoring.token_counts(docs)
     model = scoring.train(docs, counts.cache(), settings)
-    scorer = scoring.Scorer(model)
+    scorer = scoring.Scorer(model, scoring.normalisers(model, spark))
     every = np.arange(settings.classes)
     one = np.full(settings.classes, next(i for w, i in model.ids.items() if w[:1] == b"a"))
     probabilities = 10 ** scorer.token_scores(every, one, one)
@@ -48,6 +48,28 @@ def test_model_learns_and_is_normalised(spark):
     assert np.mean(by_letter[b"a"]) > 3 * np.mean(by_letter[b"b"])
 
 
+def test_all_types_sum_to_one(spark):
+    """Remembered words, outcomes of their own or shares of an ending's class, and an unseen type of each ending."""
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}{c}" for a in "abc" for b in "defg" for c in "hij"]
+    rows = [(i, " ".join(rng.choice(words, 40, p=np.arange(1, 37) / 666))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    settings = scoring.Settings(outputs=10, endings=3, remembered=100, width=8, noise=16, batch=256)
+    model = scoring.train(docs, scoring.token_counts(docs).cache(), settings)
+    lexicon = scoring.Lexicon(model)
+    scorer = scoring.Scorer(model, scoring.normalisers(model, spark))
+    every = np.arange(settings.classes)
+    totals = np.ones(settings.classes)
+    totals[settings.outputs :] = np.maximum(1, model.ending_total)
+    assert len(lexicon) == len(words) + 1
+    for context in (0, 3, settings.classes - 1):
+        before = np.full(settings.classes, context)
+        classes = 10 ** scorer.token_scores(every, before, before) / totals
+        seen = (classes[lexicon.classes] * 10**lexicon.share).sum()
+        unseen = (classes[settings.outputs :] * np.maximum(1, scoring.DISCOUNT * model.ending_types)).sum()
+        assert seen + unseen == pytest.approx(1, abs=1e-4)
+
+
 def test_scoring_of_nothing(odd):
     assert scoring.score_documents(odd.limit(0), remainder() == 1, settings=SMALL).count() == 0
     unseen = collected(scoring.score_documents(odd, F.lit(True), settings=SMALL))
