@@ -71,15 +71,15 @@ def _lit(option: Column | str | None) -> Column:
     return option if isinstance(option, Column) else F.lit(option)
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with a whole total and a plain date, dealt out by key.
+def _dealt_out(df: DataFrame) -> DataFrame:
+    """Rows dealt out by order: a bill takes far more work than the rows that it is rendered from."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, "o_orderkey")
 
-    A bill takes far more work than its order's row, so rows are spread before bills are rendered.
-    """
-    spread = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    return table(spark, folder, "orders").repartition(spread, "o_orderkey").select(
+
+def _plain_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
         "o_orderkey",
         "o_custkey",
         F.floor("o_totalprice").alias("total"),
@@ -88,8 +88,13 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with a whole total and a plain date, dealt out by key."""
+    return _dealt_out(_plain_orders(spark, folder))
+
+
 def order_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders that have lines, with whole sums over them (exact in integers)."""
+    """Orders that have lines, with whole sums over them (exact in integers), dealt out after the join."""
     sums = (
         table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
@@ -99,7 +104,8 @@ def order_sums(spark: SparkSession, folder: str) -> DataFrame:
             F.sum(F.col("l_linenumber").cast("bigint")).alias("numbers"),
         )
     )
-    return orders(spark, folder).join(sums, F.col("l_orderkey") == key()).drop("l_orderkey")
+    joined = _plain_orders(spark, folder).join(sums, F.col("l_orderkey") == key()).drop("l_orderkey")
+    return _dealt_out(joined)
 
 
 # --------------------------------------------------------------------- messages
