@@ -29,11 +29,11 @@ from billspark.llm.common import worker_memo, written
 from billspark.llm.packing import _byte_letter
 
 #: Chunks that a worker remembers: as many used lately, and as many from before that.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Longer chunks are worked out each time.
 LONGEST = 64
 #: Tokens that are aligned at once, about; longer texts are aligned in slices.
-TOGETHER = 2**18
+TOGETHER = 2**17
 #: Pairs of a segment of the hash, about.
 SEGMENT = 8192
 #: Pairs of a bucket within a segment, about.
@@ -94,6 +94,8 @@ class Vocabularies:
         self.sizes_a, self.sizes_b = (
             np.array([len(x) for x in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b)
         )
+        # ids are kept in as few bytes as they need
+        self.packed = "H" if max(len(self.bytes_a), self.width) <= 2**16 else "I"
         # how a token is written in the list of groups: before another of its side, and as the last
         self.written_a = [x for i in range(len(self.bytes_a)) for x in (f"{i},", f"{i}|")]
         self.written_b = [x for i in range(self.width) for x in (f"{i},", f"{i};")]
@@ -110,7 +112,7 @@ class Vocabularies:
         return _CHUNK.findall(whole) if self.cuttable else [whole]
 
     def tokens(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of A and of B of each chunk, as 32-bit integers; None if they do not spell it."""
+        """Ids of A and of B of each chunk, as packed integers; None if they do not spell it."""
         out: list[tuple[bytes, bytes] | None] = []
         read = self.encode_b([c[1:] if c[0] == " " else "\n" + c for c in chunks])
         for chunk, b in zip(chunks, read):
@@ -127,7 +129,7 @@ class Vocabularies:
                 ):
                     out.append(None)
                     continue
-            out.append((array("I", a).tobytes(), array("I", b).tobytes()))
+            out.append((array(self.packed, a).tobytes(), array(self.packed, b).tobytes()))
         return out
 
 
@@ -204,7 +206,7 @@ def vocabularies(bytes_path: str, pieces_path: str) -> Vocabularies:
 
 
 def document_tokens(texts: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
-    """``doc_id, a, b``: ids of both vocabularies as packed 32-bit integers; none where they do not spell the text."""
+    """``doc_id, a, b``: ids of both vocabularies as packed integers; none where they do not spell the text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(bytes_path, pieces_path)
@@ -313,7 +315,7 @@ def _together(both: Vocabularies, batch: pa.RecordBatch, most: int = TOGETHER):
     """``(row numbers, Aligned)`` of about ``most`` tokens at a time; a row's slices come in order."""
     rows, held, size = [], [], 0
     for row, (ours, theirs) in enumerate(zip(batch.column("a"), batch.column("b"))):
-        a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (ours, theirs))
+        a, b = (np.frombuffer(x.as_buffer(), both.packed) for x in (ours, theirs))
         for stretch in stretches_of(both, a, b, most):
             rows.append(row)
             held.append(stretch)

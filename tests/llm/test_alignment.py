@@ -104,8 +104,8 @@ def test_chunks_give_what_the_whole_text_gives():
         if None in found:
             assert b"".join(a_bytes) != whole or b"".join(b_bytes) != whole
         else:
-            assert np.frombuffer(b"".join(f[0] for f in found), np.uint32).tolist() == a
-            assert np.frombuffer(b"".join(f[1] for f in found), np.uint32).tolist() == b
+            assert np.frombuffer(b"".join(f[0] for f in found), known.packed).tolist() == a
+            assert np.frombuffer(b"".join(f[1] for f in found), known.packed).tolist() == b
 
 
 def test_slices_are_cut_where_both_end():
