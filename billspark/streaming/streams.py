@@ -18,6 +18,7 @@ from billspark.operators.ocr_layout import drift_alerts, drift_report
 from billspark.operators.outputs import cycle_summary, problem_status
 from billspark.sources.messages import eml_files, parse_messages
 from billspark.sources.tables import _exists as exists
+from billspark.sources.tables import names_in, remove
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -72,31 +73,38 @@ def keep_latest(path: str, key: str = "account_id") -> Callable[[DataFrame, int]
     """Sink that keeps one compacted state: each batch writes the last row of every key.
 
     A batch reads the state before it, never older batches, so its work grows with the number of
-    keys and not with the history. Run again, it writes the same state again.
+    keys and not with the history. Run again, it writes the same state again. Only the new state
+    and the one before it are kept; a state counts once its folder is complete.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        before = _state_before(batch.sparkSession, path, batch_id)
+        spark = batch.sparkSession
+        before = _state_before(spark, path, batch_id)
         values = [c for c in batch.columns if c != key]
         rows = batch.select(key, F.lit(1).alias("_turn"), F.struct(*values).alias("v"))
         if before is not None:
             rows = rows.unionByName(before.select(key, F.lit(0).alias("_turn"), F.struct(*values).alias("v")))
         last = rows.groupBy(key).agg(F.max_by("v", "_turn").alias("v"))
         last.select(key, "v.*").write.mode("overwrite").parquet(f"{path}/state={batch_id}")
+        # a batch that is run again needs the state before it, and nothing older
+        older = [n for n in complete_states(spark, path) if n < batch_id]
+        for number in older[:-1]:
+            remove(spark, f"{path}/state={number}")
 
     return keep
 
 
+def complete_states(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the states in a folder, ascending, from the names of its folders alone."""
+    states = [name for name in names_in(spark, path) if name.startswith("state=")]
+    done = [n for n in states if exists(spark, f"{path}/{n}/_SUCCESS")]
+    return sorted(int(name.removeprefix("state=")) for name in done)
+
+
 def _state_before(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
     """The newest state in a folder, or the newest before a batch."""
-    if not exists(spark, path):
-        return None
-    stored = spark.read.parquet(path)
-    numbers = stored.select("state").distinct()  # answered from folder names
-    if batch_id is not None:
-        numbers = numbers.filter(F.col("state") < batch_id)
-    newest = numbers.agg(F.max("state")).first()[0]
-    return None if newest is None else stored.filter(F.col("state") == newest).drop("state")
+    states = [n for n in complete_states(spark, path) if batch_id is None or n < batch_id]
+    return spark.read.parquet(f"{path}/state={states[-1]}") if states else None
 
 
 def read_latest(spark: SparkSession, path: str, key: str = "account_id") -> DataFrame:
@@ -104,9 +112,10 @@ def read_latest(spark: SparkSession, path: str, key: str = "account_id") -> Data
 
     Batches kept one by one with ``write_batches`` are read whole.
     """
+    state = _state_before(spark, path, None)
+    if state is not None:
+        return state
     rows = spark.read.parquet(path)
-    if "batch_id" not in rows.columns:
-        return _state_before(spark, path, None)
     values = [c for c in rows.columns if c not in (key, "batch_id")]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return last.select(key, "v.*")
@@ -226,7 +235,8 @@ def log_cycles(
 
     An entry says that a cycle started with so many messages, and one that it was completed, with
     the number of services and of those without a match, or that it failed, and why. A
-    failed cycle does not end the stream; its messages are in the next full refresh.
+    failure is entered and raised: the stream ends, and when it is started again the same batch is read
+    again. Its entry stays beside that of the later success.
     """
 
     def log(batch: DataFrame, batch_id: int) -> None:
@@ -243,19 +253,20 @@ def log_cycles(
             none.cast("bigint").alias("services"), none.cast("bigint").alias("without_match"),
             none.cast("string").alias("fault"),
         )
-        enter(started, "1")
+        enter(started, "started")
         try:
             done = cycle_events(accounts, cycle(batch)).select(
                 "event", none.cast("bigint").alias("messages"), "services", "without_match",
                 none.cast("string").alias("fault"),
             )
-            enter(done, "2")
-        except Exception as fault:  # the timeline is where it has to show
+            enter(done, "done")
+        except Exception as fault:  # entered in the timeline, then left to the stream
             failed = spark.range(1).select(
                 F.lit("cycle failed").alias("event"), none.cast("bigint").alias("messages"),
                 none.cast("bigint").alias("services"), none.cast("bigint").alias("without_match"),
                 F.lit(type(fault).__name__).alias("fault"),
             )
-            enter(failed, "2")
+            enter(failed, "failed")
+            raise
 
     return log
