@@ -483,6 +483,9 @@ STRUCTURED_FIELDS = {
     "last_payment_folio": ("tabla_nota_cobro", ["folio_ultimo_pago"]),
 }
 # Structured responses: output -> (section, row label tokens, column tokens).
+# Column of a table that holds percentages, and a percentage printed in a row's label.
+PERCENT_CELL = "porcentaje"
+LABEL_PERCENT = CS + r"(\d+(?:[.,]\d+)?)\s*%"
 STRUCTURED_CELLS = {
     "gastos_comunes_amount": (
         "tabla_desglose_departamento", ["gasto", "comun"], ["monto", "total", "valor"],
