@@ -18,7 +18,10 @@ from billspark.llm.common import KEY, NO_ID, row_key, text_or_empty, worker_memo
 #: Stands for the end of a document; no word is empty.
 END = b""
 #: Types a task counts before it passes its counts on.
-_COUNTED = 400_000
+_COUNTED = 200_000
+#: Rare words that a worker keeps beside the frequent ones. Most are met once, and a class is worked
+#: out faster than a large memo pays for its memory.
+_REMEMBERED_RARE = 50_000
 #: Absolute discount of words outside the model's vocabulary; it goes to unseen words.
 DISCOUNT = 0.5
 
@@ -53,6 +56,10 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def _classes_from(first: int, n: int, sign: int = 1) -> list[int]:
+    return [sign * (first + k) for k in range(n)]
+
+
 def _ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-2:]) % endings
 
@@ -102,14 +109,18 @@ class _Numbers(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__(model.ids)
-        self.model = model
+        self.ids = model.ids
+        self.full = len(model.ids) + _REMEMBERED_RARE
+        settings = model.settings
+        # one number a class, which all its words share
+        self.endings = settings.endings
+        self.classes = _classes_from(settings.outputs, settings.endings)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= self.full:
             self.clear()
-            self.update(self.model.ids)
-        settings = self.model.settings
-        found = self[word] = settings.outputs + _ending(word, settings.endings)
+            self.update(self.ids)
+        found = self[word] = self.classes[_ending(word, self.endings)]
         return found
 
 
@@ -240,10 +251,13 @@ class Lexicon(dict):
         # outcomes that the counts do not have, as the end where nothing was learnt
         self.others = {w: -1 - i for w, i in model.ids.items() if w not in model.known}
         self.update(self.others)
+        self.endings, self.full = self.settings.endings, len(self) + _REMEMBERED_RARE
+        # one number a class, which all its words share
+        self.unseen = _classes_from(outputs + 1, self.endings, -1)
 
     def __missing__(self, word: bytes) -> int:
-        found = -1 - (self.settings.outputs + _ending(word, self.settings.endings))
-        if len(self) < self.remembered + 1_000_000:
+        found = self.unseen[_ending(word, self.endings)]
+        if len(self) < self.full:
             self[word] = found
         return found
 
@@ -401,8 +415,9 @@ def score_documents(
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for i, h, out, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = tokens_of(text)
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
+            for (i, h, out), text in zip(keys, batch.column(3)):
+                tokens = tokens_of(text.as_py())
                 at = lexicon.rows(tokens)
                 held = at >= 0
                 met = at[held]
@@ -418,7 +433,7 @@ def score_documents(
                 rest = Counter([tokens[j] for j in np.flatnonzero(~held).tolist()])
                 rows.extend((i, h, out, w, k, 0, 0, 0.0, 0.0) for w, k in rest.items())
                 size += len(tokens)
-                if size > 500_000:
+                if size > 100_000:
                     yield _scored(rows)
                     rows, size = [], 0
         if rows:
