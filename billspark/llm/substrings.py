@@ -43,12 +43,22 @@ class Settings:
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of a sampling value that hold the place in its block.
-_PLACE = 20
+_PLACE = 16
 _BLOCK = 1 << _PLACE
 
 
 def string_hashes(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of all strings of ``length`` bytes, built by doubling."""
+    """64-bit hashes of all strings of ``length`` bytes, a block at a time that fits a processor's cache."""
+    n = max(0, len(data) - length + 1)
+    total = np.empty(n, np.uint64)
+    for at in range(0, n, _BLOCK):
+        stop = min(at + _BLOCK, n)
+        total[at:stop] = _block_hashes(data[at : stop + length - 1], length, salt)
+    return total
+
+
+def _block_hashes(data: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """Hashes built by doubling; the array holds a string at least."""
     p = _P + np.uint64(2 * salt)
     h, size, done, total, left = data.astype(np.uint64) * _Q + p, 1, 0, None, length
     n = len(data) - length + 1
@@ -99,29 +109,31 @@ def sampled(
     empty = np.empty(0, np.int64)
     if n <= 0:
         return empty.astype(np.uint64), empty, empty, empty
-    place = np.empty(n, np.int64)
-    key = np.empty(n, np.uint64)
+    starts = np.concatenate(([0], ends[:-1]))
+    # a run of strings with one gram also ends where a document begins or has no more strings
+    borders = np.unique(np.concatenate((starts, np.maximum(starts, ends - length + 1))))
+    found, keys, before = [], [], -1
     for at in range(0, n, _BLOCK - length):
         block = data[at : min(at + _BLOCK - 1, n - 1 + length)]
-        h = string_hashes(block, settings.gram)
+        h = _block_hashes(block, settings.gram, 0)
         ranked = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
         low = _lowest(ranked, length - settings.gram + 1)
         size = min(len(low), _BLOCK - length, n - at)
         where = (low[:size] & np.uint64(_BLOCK - 1)).astype(np.int64)
-        place[at : at + size] = where + at
-        key[at : at + size] = h[where]
-    starts = np.concatenate(([0], ends[:-1]))
-    valid = np.zeros(n, bool)
-    doc = np.repeat(np.arange(len(ends)), ends - starts)[:n]
-    valid[:] = np.arange(n) + length <= ends[doc]
-    change = np.empty(n, bool)
-    change[0] = True
-    change[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
-    first = np.flatnonzero(change)
+        change = np.empty(size, bool)
+        change[0] = where[0] + at != before
+        change[1:] = where[1:] != where[:-1]
+        low_border, high_border = np.searchsorted(borders, (at, at + size))
+        change[borders[low_border:high_border] - at] = True
+        begin = np.flatnonzero(change)
+        found.append(begin + at)
+        keys.append(h[where[begin]])
+        before = where[-1] + at
+    first, key = np.concatenate(found), np.concatenate(keys)
     last = np.concatenate((first[1:], [n])) - 1
-    good = valid[first]
-    first, last = first[good], last[good]
-    return _spread(key[first]), doc[first], first, last
+    doc = np.searchsorted(ends, first, side="right")
+    good = first + length <= ends[doc]
+    return _spread(key[good]), doc[good], first[good], last[good]
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -230,7 +242,7 @@ def _shared_keys(table: DataFrame, bits: int, width: int, parts: int, settings:
                 key, doc, _, _ = sampled(data, ends, settings)
                 if not len(key):
                     continue
-                order = np.lexsort((ids[doc], key))
+                order = np.argsort(key)
                 key, holder = key[order], ids[doc][order]
                 new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 many = np.maximum.reduceat(holder, new) != np.minimum.reduceat(holder, new)
@@ -296,7 +308,7 @@ def _spans_of(blob: bytes, replies: list, bits: int, width: int, settings: Setti
     part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     tag = _tag(key, bits, width)
     shared = np.zeros(len(key), bool)
-    order = np.lexsort((tag, part))
+    order = np.argsort(key)  # by partition, then by tag
     edges = np.searchsorted(part[order], [r["part"] for r in replies])
     stops = np.searchsorted(part[order], [r["part"] for r in replies], side="right")
     for r, a, b in zip(replies, edges, stops):
@@ -381,15 +393,21 @@ class SuffixArray:
         at = begin[span] + offset
         first = string_hashes(data, length)[at]
         second = string_hashes(data, length, salt=1)[at]
-        order = np.argsort(first, kind="stable")
+        order = np.argsort(first)
         self.first, self.second = first[order], second[order]
         self.span, self.offset, self.least = span[order], offset[order], least[span[order]]
         self.begin, self.sizes, self.data = begin, sizes, data
 
     def own_least(self) -> np.ndarray:
         """For each string, the smallest id that holds it in this array."""
-        order = np.lexsort((self.second, self.first))
-        f, s = self.first[order], self.second[order]
+        f, s = self.first, self.second
+        other = s[1:] != s[:-1]
+        if not np.any((f[1:] == f[:-1]) & other):
+            # no two strings share a first hash: equal ones already follow one another
+            new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+            return np.repeat(np.minimum.reduceat(self.least, new), np.diff(np.append(new, len(f))))
+        order = np.lexsort((s, f))
+        f, s = f[order], s[order]
         new = np.concatenate(([True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])))
         group = np.cumsum(new) - 1
         lowest = np.minimum.reduceat(self.least[order], np.flatnonzero(new))
