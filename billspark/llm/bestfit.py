@@ -153,7 +153,7 @@ def whole_pieces(
     """
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_memo(f"ids of {vocabulary} {end_id} added", lambda: encoder(vocabulary, end_id, True))
+        encode = worker_memo(f"ids of {vocabulary} {end_id} added", lambda: encoder(vocabulary, end_id, True), alone=True)
         seen = 0
         for batch in batches:
             rows: list[tuple] = []

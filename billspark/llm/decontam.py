@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import KEY, row_key, text_or_empty, written
+from billspark.llm.common import KEY, TEXTS_AT_ONCE, row_key, rows_at_once, text_or_empty, written
 
 #: A-Z lowered, other letters, digits and all bytes from 0x80 kept, the rest a blank.
 _LETTERS = bytes(
@@ -217,13 +217,15 @@ def phrase_hits(
     """
     tests = written(_test_words(items, item_col, item_text_col), "test-items")
     vocabulary = _shipped(tests.select(F.explode("words").alias("term")), max_terms)
-    pairs = written(anchors(tests, term_counts(docs, text_col, vocabulary), window), "anchors")
+    spark = docs.sparkSession
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        pairs = written(anchors(tests, term_counts(docs, text_col, vocabulary), window), "anchors")
     asked = pairs.select(F.col("first_term").alias("term")).unionByName(
         pairs.select(F.col("second_term").alias("term"))
     )
-    index = written(
-        index_documents(docs, id_col, text_col, _shipped(asked, max_terms)), "positions"
-    )
+    wanted = _shipped(asked, max_terms)
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        index = written(index_documents(docs, id_col, text_col, wanted), "positions")
     sizes = (
         index.filter(F.col("term").isNull())
         .groupBy(*KEY)

@@ -13,7 +13,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import KEY, NO_ID, cut, row_key, text_or_empty, worker_memo, written
+from billspark.llm.common import (
+    KEY,
+    NO_ID,
+    TEXTS_AT_ONCE,
+    cut,
+    row_key,
+    rows_at_once,
+    text_or_empty,
+    worker_memo,
+    written,
+)
+
+#: Words whose hashes a Python worker remembers at most; the memory is then emptied. A hash is
+#: quickly had, so this need not hold the rare ones.
+REMEMBERED = 100_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -48,7 +62,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -145,7 +159,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_memo("hashes of words", _WordHashes)
+        hashes = worker_memo("hashes of words", _WordHashes, alone=True)
         for batch in batches:
             rows = []
             for i, h, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -177,7 +191,7 @@ def linked(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The ``pairs`` (``left, right``) whose texts are similar enough, by exact comparison."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_memo("hashes of words", _WordHashes)
+        hashes = worker_memo("hashes of words", _WordHashes, alone=True)
         last: tuple = (None, None)
         for batch in batches:
             rows = []
@@ -245,7 +259,7 @@ def _across(labelled: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     rows = placed(False).unionByName(placed(True)).join(texts, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_memo("hashes of words", _WordHashes)
+        hashes = worker_memo("hashes of words", _WordHashes, alone=True)
         for block in _blocks(batches):
             found = _links_in_block(block, settings, hashes)
             if found:
@@ -368,7 +382,9 @@ def classes(
     different components are then compared block by block, so no link between candidates
     is lost, no pair becomes a row unless it is a link, and a task holds two blocks at most.
     """
-    sketched = written(sketches(docs, id_col, text_col, settings), "sketches")
+    spark = docs.sparkSession
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        sketched = written(sketches(docs, id_col, text_col, settings), "sketches")
     nodes = (
         sketched.filter(F.col("node").isNotNull())
         .groupBy("node")
@@ -406,10 +422,12 @@ def classes(
         .agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands")),
         "texts",
     )
-    links = cut(linked(stars, texts, settings))
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        links = cut(linked(stars, texts, settings))
     labels = components(links)
     labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = cut(_across(labelled, texts, settings))
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        more = cut(_across(labelled, texts, settings))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     grouped = sketched.join(labels, "node", "left").select(

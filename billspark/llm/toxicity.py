@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import NO_ID, row_key, text_or_empty, written
+from billspark.llm.common import NO_ID, TEXTS_AT_ONCE, row_key, rows_at_once, text_or_empty, written
 
 #: Closed classes of the grammar, in English, French, German and Spanish.
 TARGETS = frozenset(
@@ -332,7 +332,8 @@ def score_documents(
     sample = written(
         labelled_sample(training, labels, bound), "labelled-sample"
     )
-    grammar = learn(sample)
+    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        grammar = learn(sample)
     return with_scores(docs, grammar, text_col)
 
 
