@@ -4,7 +4,7 @@ import sys
 import tracemalloc
 
 from billspark.llm import neardup, packing
-from billspark.llm.common import worker_memo
+from billspark.llm.common import rows_at_once, worker_memo
 from billspark.llm.queries import vocabulary
 
 
@@ -63,3 +63,16 @@ def test_parts_are_remembered_as_chunks():
     apart = {x: forward(x) for x in odd}
     assert {x: backward(x) for x in reversed(odd)} == apart
     assert forward(text) == backward(text) == b"".join(apart[x][:-4] for x in odd) + apart["x9y"][-4:]
+
+
+def test_batches_are_never_made_larger(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for owner, inside in (("10000", "1000"), ("50", "50"), ("0", "1000")):
+            spark.conf.set(name, owner)
+            with rows_at_once(spark, 1000):
+                assert spark.conf.get(name) == inside
+            assert spark.conf.get(name) == owner
+    finally:
+        spark.conf.set(name, before)
